@@ -1,0 +1,7 @@
+"""SQL that checks the core's queries."""
+
+from __future__ import annotations
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

@@ -1,0 +1,7 @@
+"""The core's queries, by name."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
