@@ -8,33 +8,15 @@ from pyspark.sql import functions as F
 from ..scratch import staged
 
 
-def chunk_records(chunks: DataFrame) -> DataFrame:
-    """chunks -> (id, heading, text, collection), one row per id.
+def record_rows(chunks: DataFrame, limit: int | None = None, keep: list[str] = ()) -> DataFrame:
+    """chunks -> (id, heading, text, rid) and the columns in keep: one row per record, without moving any text where possible.
 
     All rows with one id are one record. A row with a heading wins over one whose heading is null or ''; among those
-    the latest ingested_at wins (null is earliest); ties go to the greatest hash of the row. Rows without an id are dropped: they
-    name no record. A null text counts as ''.
-    """
-    have = set(chunks.columns)
-    heading = F.coalesce(F.col("heading"), F.lit("")) if "heading" in have else F.lit("")
-    at = F.col("ingested_at") if "ingested_at" in have else F.lit(None).cast("timestamp_ntz")
-    rank = F.struct(
-        (heading != "").alias("named"),
-        F.coalesce(at, F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"),
-        F.xxhash64(F.col("id"), heading, F.coalesce(F.col("text"), F.lit(""))).alias("row_key"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        heading.alias("heading"),
-        (F.col("collection") if "collection" in have else F.lit(None).cast("string")).alias("collection"),
-    )
-    best = chunks.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(rank).alias("r"))
-    return best.select("id", "r.heading", "r.text", "r.collection")
-
-
-def record_rows(chunks: DataFrame, limit: int | None = None) -> DataFrame:
-    """chunks -> (id, heading, text, rid), the rows that chunk_records keeps, without moving any text where possible.
+    the latest ingested_at wins (null is earliest); ties go to the greatest hash of the row. Rows without an id name no
+    record and are left out. Null headings and texts come out as ''.
 
     rid is the id's 64-bit hash. Only ids and hashes are shuffled to find the rows that lose to another row of their
-    id; if those are few enough to broadcast, they are taken out of the scan, else chunk_records does the work. A kept
+    id; they are taken out of the scan by a broadcast if they are few enough, else by a shuffled anti-join. A kept
     row may still come out more than once if the table repeats it as a whole.
     """
     from .sizes import BROADCAST_KEYS
@@ -47,8 +29,9 @@ def record_rows(chunks: DataFrame, limit: int | None = None) -> DataFrame:
         heading.alias("heading"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
         F.coalesce(at, F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"),
+        *[F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in keep],
     )
-    rows = rows.withColumn("row_key", F.xxhash64("id", "heading", "text"))
+    rows = rows.withColumn("row_key", F.xxhash64("id", "heading", "text", *keep))
     slim = rows.select("id", "row_key", (F.col("heading") != "").alias("named"), "at")
     best = (
         slim.groupBy("id")
@@ -63,9 +46,9 @@ def record_rows(chunks: DataFrame, limit: int | None = None) -> DataFrame:
     lost = staged(lost, "lost-rows")
     n = lost.limit(limit + 1).count()
     if n > limit:
-        out = chunk_records(chunks).select("id", "heading", "text")
+        out = rows.join(lost, "row_key", "left_anti")
     elif n:
         out = rows.join(F.broadcast(lost), "row_key", "left_anti")
     else:
         out = rows
-    return out.select("id", "heading", "text", F.xxhash64("id").alias("rid"))
+    return out.select("id", "heading", "text", F.xxhash64("id").alias("rid"), *keep)

@@ -2,6 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.snapshot_diff import snapshot_changes
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot_changes(table(spark, sf_dir, "snapshot_chunks"))
+
+
+def queries() -> dict[str, Query]:
+    return {"p2_found": p2_found}
