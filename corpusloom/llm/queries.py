@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .spans import SharedSpans
+from .split import split_oversized
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,5 +29,13 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(table(spark, sf_dir, "chunks")).report()
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_pieces(spark, sf_dir).groupBy("id").agg(F.max(F.col("had_to_force").cast("long")).alias("forced"))
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "run_identity"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
