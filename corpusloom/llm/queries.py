@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .neardup import NearDuplicates
 from .spans import SharedSpans
 from .split import split_oversized
 
@@ -37,5 +38,13 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "run_identity"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDuplicates(table(spark, sf_dir, "chunks")).pairs()
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDuplicates(table(spark, sf_dir, "chunks")).groups()
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
