@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .history import refused_files
 from .neardup import NearDuplicates
 from .spans import SharedSpans
 from .split import split_oversized
@@ -46,5 +47,12 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(table(spark, sf_dir, "chunks")).groups()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = refused_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "manifest"))
+    return found.select(
+        F.least("file_no", "other_no").alias("file_no_a"), F.greatest("file_no", "other_no").alias("file_no_b")
+    ).distinct()
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
