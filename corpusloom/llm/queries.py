@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .history import refused_files
+from .leaks import LeakSearch
 from .neardup import NearDuplicates
+from .packing import packed_documents, waste
 from .spans import SharedSpans
 from .split import split_oversized
 
@@ -54,5 +56,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p6_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waste(p6_packed(spark, sf_dir))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    search = LeakSearch(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return search.exact().select("doc_id", "item_id").distinct()
+
+
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LeakSearch(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).near()
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
