@@ -12,6 +12,7 @@ from .leaks import LeakSearch
 from .neardup import NearDuplicates
 from .packing import packed_documents, waste
 from .spans import SharedSpans
+from .spam import list_pages, page_curves, suspects
 from .split import split_oversized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,5 +74,13 @@ def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LeakSearch(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).near()
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return list_pages(table(spark, sf_dir, "documents"))
+
+
+def p8_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suspects(page_curves(table(spark, sf_dir, "documents"))).drop("s", "r", "a")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
