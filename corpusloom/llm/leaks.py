@@ -1,10 +1,12 @@
 """Problem 7: test passages in training text, by a distributed positional inverted index.
 
-The index is a stored table of postings (term, doc_id, position). Each window of 13 consecutive words of a test item
-(all its words if it has fewer) is looked up by its rarest terms, as counted over all documents: their lists are joined
-with the item's positions, which turns a posting into the offset between document and item, and equal offsets are
-intersected. What is left is compared word by word. Only the lists of terms that some window is looked up by are
-needed, so only these are stored when the items are known.
+The index is stored in the shared folder, distributed by documents: a row holds the postings of a block of documents,
+that is the sorted terms and for each the ascending positions where it stands. It is built once and serves any number of
+test sets. A test set is sent to all rows of the index, in blocks of bounded size. Each window of 13 consecutive words
+of an item (all its words if it has fewer) is looked up by its rarest term, as counted over all documents: each posting
+of that term, less the term's place in the item, is an offset at which the item may lie, and the lists of the words
+next to it are intersected at that offset, outwards until a word does not match. Proximity matches need the rarest few
+terms of a window within a few words of where the offset puts them.
 
 Defined results: words are runs of letters and digits of any script in the lower-cased text. Items without a word match
 nothing. Null texts have no words; rows without doc_id or item_id are left out. Of several rows with one id each
@@ -18,184 +20,228 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.sizes import only
 from ..scratch import staged
 from . import kernels as K
 
-WINDOW, ANCHORS = 13, 2
+WINDOW = 13
 #: Test items are taken in blocks of about so many words (some 100 MB in a worker).
 BLOCK_WORDS = 2_000_000
+INDEX = "docs binary, doc_starts binary, terms binary, list_starts binary, positions binary"
+
+
+def build_index(documents: DataFrame) -> DataFrame:
+    """(doc_id, text) -> the stored index, a row for each block of documents.
+
+    docs are 64-bit ids; doc_starts, list_starts and positions 32-bit numbers that count words of the block.
+    """
+
+    def run(batches):
+        for b in batches:
+            texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_numpy()
+            for s, e in K.blocks(texts):
+                w = K.Words(texts[s:e], unicode=True)
+                order = np.argsort(w.hash, kind="stable")
+                terms, first = np.unique(w.hash[order], return_index=True)
+                cols = [ids[s:e], w.bound.astype(np.int32), terms, np.append(first, len(order)).astype(np.int32), order.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], names=[x.split()[0] for x in INDEX.split(", ")])
+
+    rows = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
+    return staged(rows.mapInArrow(run, INDEX), "positional-index")
+
+
+class Block:
+    """One row of the index."""
+
+    def __init__(self, row: dict):
+        self.docs = np.frombuffer(row["docs"], np.int64)
+        self.doc_starts = np.frombuffer(row["doc_starts"], np.int32)
+        self.terms = np.frombuffer(row["terms"], np.uint64)
+        self.list_starts = np.frombuffer(row["list_starts"], np.int32).astype(np.int64)
+        self.positions = np.frombuffer(row["positions"], np.int32).astype(np.int64)
+
+    def numbers(self, terms: np.ndarray) -> np.ndarray:
+        """The number of each term in this block, -1 if it has none."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
+
+    def postings(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into numbers, position) for all postings of the terms with these numbers."""
+        start, size = self.list_starts[numbers], self.list_starts[numbers + 1] - self.list_starts[numbers]
+        which = np.repeat(np.arange(len(numbers)), size)
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return which, self.positions[start[which] + inner]
+
+    def at_position(self) -> np.ndarray:
+        """The lists merged: for each position the number of its term."""
+        out = np.empty(len(self.positions), np.int64)
+        out[self.positions] = np.repeat(np.arange(len(self.terms)), np.diff(self.list_starts))
+        return out
+
+    def doc_of(self, positions: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.doc_starts[1:], positions, "right")
 
 
 class Items:
-    """A block of test items as arrays: the words of all of them end to end."""
+    """A block of test items: the words of all of them end to end."""
 
     def __init__(self, ids: list[int], texts: list[str], window: int):
         w = K.Words(texts, unicode=True)
-        self.ids, self.hash, self.bound = np.array(ids, np.int64), w.hash, w.bound
-        self.terms = np.unique(w.hash)
-        self.window = window
+        self.ids, self.hash, self.bound, self.window = np.array(ids, np.int64), w.hash, w.bound, window
+        self.terms, self.term = np.unique(w.hash, return_inverse=True)
+        self.item = w.text
 
-    def windows(self):
-        """(item number, first word in the whole, words) of each window."""
+    def anchors(self, counts: np.ndarray, k: int = 1):
+        """For each window whose words all occur the k rarest of its words, the rarest first (of equal ones the first)."""
+        count = counts[self.term]
         for i in range(len(self.ids)):
             s, e = int(self.bound[i]), int(self.bound[i + 1])
             n = min(self.window, e - s)
             for at in range(s, e - n + 1) if n else ():
-                yield i, at, n
-
-    def anchors(self, counts: np.ndarray, k: int):
-        """For each window that can match the k rarest of its words. counts: of self.terms, over the documents."""
-        count = counts[np.searchsorted(self.terms, self.hash)]
-        for i, at, n in self.windows():
-            c = count[at : at + n]
-            if c.min() > 0:
-                yield i, at, n, np.sort(np.argsort(c, kind="stable")[:k] + at)
+                c = count[at : at + n]
+                if c.min() > 0:
+                    yield np.argsort(c, kind="stable")[:k] + at
 
 
-def _found(words: K.Words, terms: np.ndarray):
-    """(index of the word, index of the term) for the words that are among the sorted terms."""
-    if not len(terms):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    bits = K.U((1 << 20) - 1)
-    seen = np.zeros(1 << 20, bool)
-    seen[(terms & bits).astype(np.int64)] = True
-    at = np.flatnonzero(seen[(words.hash & bits).astype(np.int64)])
-    k = np.minimum(np.searchsorted(terms, words.hash[at]), len(terms) - 1)
-    hit = terms[k] == words.hash[at]
-    return at[hit], k[hit]
+def _item_blocks(items: DataFrame, window: int) -> list[Items]:
+    """The test items, block by block: they are the query, and pass through the driver."""
+    rows = items.where("item_id is not null and text is not null").select("item_id", "text")
+    blocks, ids, texts, size = [], [], [], 0
+    for r in rows.toLocalIterator():
+        ids.append(r[0])
+        texts.append(r[1])
+        size += len(r[1]) // 5
+        if size > BLOCK_WORDS:
+            blocks.append(Items(ids, texts, window))
+            ids, texts, size = [], [], 0
+    return blocks + [Items(ids, texts, window)] * bool(ids)
 
 
-def term_counts(documents: DataFrame, terms: np.ndarray) -> np.ndarray:
-    """How often each of the sorted terms occurs in all documents. What is collected has a row for each term."""
+def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """How often each of the sorted terms occurs in all documents, from the index. Collects a row for each term."""
 
     def run(batches):
         total = np.zeros(len(terms), np.int64)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for s, e in K.blocks(texts):
-                total += np.bincount(_found(K.Words(texts[s:e], unicode=True), terms)[1], minlength=len(terms))
+            for r in b.to_pylist():
+                have, starts = np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["list_starts"], np.int32)
+                if len(have):
+                    at = np.minimum(np.searchsorted(have, terms), len(have) - 1)
+                    total += np.where(have[at] == terms, np.diff(starts)[at], 0)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
 
-    rows = documents.where("text is not null").select("text").mapInArrow(run, "term long, n long")
-    got = rows.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = index.select("terms", "list_starts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(terms), np.int64)
     out[got.column("term").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
-def postings(documents: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
-    """The positional index: (term, doc_id, pos), of all terms or of the sorted ones given."""
+FOUND = "doc_id long, item_id long, pos long, first long, words long"
+
+
+def _exact(items: Items, anchors: np.ndarray):
+    """Index rows -> (doc_id, item_id, pos, first, words): runs of an item's words in a document, around an anchor."""
 
     def run(batches):
         for b in batches:
-            texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_numpy()
-            for s, e in K.blocks(texts):
-                w = K.Words(texts[s:e], unicode=True)
-                at = np.arange(len(w.hash)) if terms is None else _found(w, terms)[0]
-                text = w.text[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.hash[at].view(np.int64)), pa.array(ids[s:e][text]), pa.array((at - w.bound[text]).astype(np.int32))], names=["term", "doc_id", "pos"]
-                )
+            for r in b.to_pylist():
+                block = Block(r)
+                number = block.numbers(items.terms)[items.term]  # of each word of the items
+                here = anchors[number[anchors] >= 0]
+                which, pos = block.postings(number[here])
+                word = here[which]
+                text = block.at_position()
+                doc, item = block.doc_of(pos), items.item[word]
+                size = np.ones(len(pos), np.int64)
+                low = np.zeros(len(pos), np.int64)
+                for side in (-1, 1):
+                    at = np.arange(len(pos))
+                    edge = (items.bound[item], items.bound[item + 1])
+                    walls = (block.doc_starts[doc], block.doc_starts[doc + 1])
+                    for d in range(1, items.window):
+                        p, w = pos[at] + side * d, word[at] + side * d
+                        at = at[(p >= walls[0][at]) & (p < walls[1][at]) & (w >= edge[0][at]) & (w < edge[1][at])]
+                        p, w = pos[at] + side * d, word[at] + side * d
+                        at = at[text[p] == number[w]]
+                        size[at] += 1
+                        if side < 0:
+                            low[at] = d
+                        if not len(at):
+                            break
+                hit = np.flatnonzero(size >= np.minimum(items.window, items.bound[item + 1] - items.bound[item]))
+                d, i = doc[hit], item[hit]
+                cols = [block.docs[d], items.ids[i], pos[hit] - low[hit] - block.doc_starts[d], word[hit] - low[hit] - items.bound[i], size[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=[x.split()[0] for x in FOUND.split(", ")])
+
+    return run
+
+
+def _near(items: Items, windows: np.ndarray, slack: int):
+    """Index rows -> (doc_id, item_id, window): windows whose anchors all lie near where their rarest puts them."""
 
-    rows = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
-    return rows.mapInArrow(run, "term long, doc_id long, pos int")
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                block = Block(r)
+                number = block.numbers(items.terms)[items.term]
+                here = np.flatnonzero((number[windows] >= 0).all(axis=1))
+                which, pos = block.postings(number[windows[here, 0]])
+                window = here[which]
+                doc = block.doc_of(pos)
+                # All lists end to end, each in a range of its own, so that one search serves all.
+                span = len(block.positions) + 2 * slack + 2
+                lists = np.repeat(np.arange(len(block.terms)), np.diff(block.list_starts)) * span + block.positions
+                for k in range(1, windows.shape[1]):
+                    want = pos + windows[window, k] - windows[window, 0]
+                    lo = np.maximum(want - slack, block.doc_starts[doc])
+                    hi = np.minimum(want + slack, block.doc_starts[doc + 1] - 1)
+                    base = number[windows[window, k]] * span
+                    at = np.minimum(np.searchsorted(lists, base + lo), len(lists) - 1)
+                    ok = (lists[at] >= base + lo) & (lists[at] <= base + hi)
+                    window, pos, doc = window[ok], pos[ok], doc[ok]
+                cols = [block.docs[doc], items.ids[items.item[windows[window, 0]]], window]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["doc_id", "item_id", "window"])
+
+    return run
 
 
-def _blocks(items: DataFrame, window: int) -> list[Items]:
-    """The test items, block by block. They are the query: all their words pass through the driver, in blocks."""
-    rows = items.where("item_id is not null and text is not null").select("item_id", "text")
-    blocks, ids, texts, size = [], [], [], 0
-    for r in rows.toLocalIterator():
-        ids.append(r[0])
-        texts.append(r[1])
-        size += len(r[1]) // 5
-        if size > BLOCK_WORDS:
-            blocks.append(Items(ids, texts, window))
-            ids, texts, size = [], [], 0
-    return blocks + [Items(ids, texts, window)] * bool(ids)
+class LeakSearch:
+    """Test items against all documents. index: a stored one, else it is built."""
 
+    def __init__(self, documents: DataFrame, items: DataFrame, window: int = WINDOW, index: DataFrame | None = None):
+        self.spark = documents.sparkSession
+        self.index = build_index(documents) if index is None else index
+        self.blocks = _item_blocks(items, window)
 
-class LeakSearch:
-    """Test items against all documents."""
-
-    def __init__(self, documents: DataFrame, items: DataFrame, window: int = WINDOW, anchors: int = ANCHORS):
-        self.documents, self.window, self.k = documents.select("doc_id", "text"), window, anchors
-        self.blocks = _blocks(items, window)
-        self._ready: list[tuple] = []
-
-    def _lookups(self):
-        """For each block: its anchors and windows as tables, and the stored postings of its anchors' terms."""
-        if not self._ready:
-            spark = self.documents.sparkSession
-            for block in self.blocks:
-                windows = list(block.anchors(term_counts(self.documents, block.terms), self.k))
-                used = np.unique(np.concatenate([w[3] for w in windows])) if windows else np.empty(0, np.int64)
-                owner = np.searchsorted(block.bound, used, "right") - 1
-                anchors = pa.table({"term": block.hash[used].view(np.int64), "item": owner, "ipos": used})
-                table = pa.table(
-                    {
-                        "item": pa.array([w[0] for w in windows], pa.int64()),
-                        "first": pa.array([w[1] for w in windows], pa.int64()),
-                        "words": pa.array([w[2] for w in windows], pa.int64()),
-                        "anchors": pa.array([w[3].tolist() for w in windows], pa.list_(pa.int64())),
-                    }
-                )
-                stored = staged(postings(self.documents, np.unique(block.hash[used])), "postings")
-                self._ready.append(
-                    (block, spark.createDataFrame(anchors, "term long, item long, ipos long"), spark.createDataFrame(table, "item long, first long, words long, anchors array<long>"), stored)
-                )
-        return self._ready
+    def _all(self, kind, ddl: str) -> DataFrame:
+        out = self.spark.createDataFrame([], ddl)
+        for items in self.blocks:
+            out = out.unionByName(self.index.mapInArrow(kind(items), ddl))
+        return out
 
     def exact(self) -> DataFrame:
-        """(doc_id, item_id, pos, first, words): each window of an item that stands in a document, at word pos."""
-        out = None
-        for block, anchors, windows, stored in self._lookups():
-            # The offset of an item in a document is the same for all anchors of a window that matches.
-            met = stored.join(F.broadcast(anchors), "term").select("doc_id", "item", (F.col("pos") - F.col("ipos")).alias("offset"), "ipos")
-            met = met.groupBy("doc_id", "item", "offset").agg(F.collect_set("ipos").alias("have"))
-            candidates = (
-                met.join(F.broadcast(windows), "item")
-                .where(F.forall("anchors", lambda x: F.array_contains("have", x)))
-                .groupBy("doc_id")
-                .agg(F.collect_set(F.struct("item", "offset", "first", "words")).alias("at"))
-            )
-            found = self._verified(block, staged(candidates, "leak-candidates"))
-            out = found if out is None else out.unionByName(found)
-        return out if out is not None else self.documents.sparkSession.createDataFrame([], "doc_id long, item_id long, pos long, first long, words long")
-
-    def _verified(self, block: Items, candidates: DataFrame) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                texts, ids, at = b.column("text").to_pylist(), b.column("doc_id").to_pylist(), b.column("at").to_pylist()
-                out = []
-                for s, e in K.blocks(texts):
-                    w = K.Words(texts[s:e], unicode=True)
-                    for i in range(s, e):
-                        mine = w.hash[w.bound[i - s] : w.bound[i - s + 1]]
-                        for c in at[i]:
-                            p = c["offset"] + c["first"]
-                            if p >= 0 and np.array_equal(mine[p : p + c["words"]], block.hash[c["first"] : c["first"] + c["words"]]):
-                                out.append((ids[i], int(block.ids[c["item"]]), p, c["first"] - int(block.bound[c["item"]]), c["words"]))
-                cols = list(zip(*out)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["doc_id", "item_id", "pos", "first", "words"])
-
-        docs = only(self.documents.where("text is not null"), candidates.select("doc_id"), "doc_id")
-        return docs.join(candidates, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "doc_id long, item_id long, pos long, first long, words long")
-
-    def near(self, slack: int = 8, share: float = 0.75) -> DataFrame:
-        """(doc_id, item_id, met, of): documents that hold most of an item's anchors close to its order.
-
-        Anchors count that lie within `slack` words of where one offset puts them. For passages with small edits.
+        """(doc_id, item_id, pos, first, words): word runs of an item, from its word `first`, at word pos of a document.
+
+        Runs are reported around each anchor that lies in one, and end 12 words from it: a longer run may come in parts.
         """
-        out = None
-        for block, anchors, _, stored in self._lookups():
-            of = anchors.groupBy("item").agg(F.count("*").alias("of"))
-            met = stored.join(F.broadcast(anchors), "term").withColumn("offset", F.col("pos") - F.col("ipos"))
-            met = met.select("doc_id", "item", "ipos", F.posexplode(F.array(F.floor(F.col("offset") / slack), F.floor(F.col("offset") / slack + 0.5))).alias("shift", "cell"))
-            best = met.groupBy("doc_id", "item", "shift", "cell").agg(F.countDistinct("ipos").alias("met")).groupBy("doc_id", "item").agg(F.max("met").alias("met"))
-            names = self.documents.sparkSession.createDataFrame(pa.table({"item": np.arange(len(block.ids)), "item_id": block.ids}), "item long, item_id long")
-            got = best.join(F.broadcast(of), "item").where((F.col("met") >= share * F.col("of")) & (F.col("of") > 1)).join(F.broadcast(names), "item").select("doc_id", "item_id", "met", "of")
-            out = got if out is None else out.unionByName(got)
-        return out if out is not None else self.documents.sparkSession.createDataFrame([], "doc_id long, item_id long, met long, of long")
+
+        def kind(items: Items):
+            found = [a[0] for a in items.anchors(term_counts(self.index, items.terms))]
+            return _exact(items, np.unique(np.array(found, np.int64)))
+
+        return self._all(kind, FOUND)
+
+    def near(self, anchors: int = 4, slack: int = 6) -> DataFrame:
+        """(doc_id, item_id, windows): documents with the rarest words of an item's windows near their places.
+
+        Finds passages with small edits; windows counts the windows of the item that are met in the document.
+        """
+
+        def kind(items: Items):
+            found = [a for a in items.anchors(term_counts(self.index, items.terms), anchors) if len(a) == anchors]
+            return _near(items, np.array(found, np.int64).reshape(-1, anchors), slack)
+
+        met = self._all(kind, "doc_id long, item_id long, window long").distinct()
+        return met.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"))
