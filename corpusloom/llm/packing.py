@@ -131,7 +131,12 @@ def pack(sizes: DataFrame, containers: DataFrame, *, part_items: int = PART_ITEM
     (container, capacity, bin_id, doc_id, start, n_tokens): tokens start..start+n_tokens of the document lie in the bin.
     """
     kinds = containers.where("capacity >= 1 and container is not null").select("container", "capacity").distinct()
-    each = sizes.where("tokens > 0").crossJoin(F.broadcast(kinds))  # a row for each container: the list is the query
+    listed = sorted((r[0], int(r[1])) for r in kinds.collect())  # the kinds of containers: the query, a handful of rows
+    kind = F.array(*[F.struct(F.lit(c).alias("container"), F.lit(n).cast("int").alias("capacity")) for c, n in listed])
+    if not listed:
+        ddl = "container string, capacity int, bin_id string, doc_id long, start long, n_tokens long"
+        return sizes.sparkSession.createDataFrame([], ddl)
+    each = sizes.where("tokens > 0").select("doc_id", "tokens", F.explode(kind).alias("k")).select("doc_id", "tokens", "k.*")
     whole = each.where("tokens >= capacity").select(
         "container", "capacity", "doc_id", F.explode(F.expr("sequence(0L, tokens - capacity, cast(capacity as bigint))")).alias("start"), F.col("capacity").cast("long").alias("n_tokens")
     )
@@ -166,8 +171,8 @@ def pack(sizes: DataFrame, containers: DataFrame, *, part_items: int = PART_ITEM
             if not again:
                 break
             parts = again
-            # Children that follow each other merge: part p of the finer level goes to part p % parts of the coarser.
-            items = dealt(bins.where("not done and again").drop("part", "again").withColumn("mix", F.xxhash64("content")), parts, F.col("mix"))
+            # What all parts left over is dealt evenly to fewer parts, each the parent of several of the finer level.
+            items = dealt(bins.where("not done and again").drop("part", "again"), parts, F.xxhash64("content"))
         packed = final[0]
         for x in final[1:]:
             packed = packed.unionByName(x)
