@@ -2,8 +2,10 @@
 
 Each record is the set of its three-word runs. Records with equal sets are one class and are compared once. A set gets
 a prefix of its rarest shingles; where the prefix would meet many postings, it is lengthened and more shared prefix
-shingles (l) are required. Two sets are verified if they share at least the smaller l of the two. Postings travel in
-packed blocks to the reducer of their shingle; a shingle that stands in very many prefixes is split over several
+shingles (l) are required. Two sets are verified if they share at least the smaller l of the two, and as many as sets of
+their sizes must share in prefixes of these lengths. Pairs that differ too
+much in size, or in a parity sketch of the whole sets (a lower bound of their difference), are left out where they meet.
+Postings travel in packed blocks to the reducer of their shingle; a shingle that stands in very many prefixes is split over several
 reducers by blocks of sets, each pair of blocks in one.
 
 Defined results: the words of a record are those of heading, a space and text; null headings and texts count as ''.
@@ -17,7 +19,6 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,21 +27,25 @@ from ..operators.sizes import only
 from ..scratch import staged
 from . import kernels as K
 from .components import components
-from .prefixes import Common, Likeness, common_shingles, order, prefix_length
+from .prefixes import Common, Likeness, order, prefix_length, set_key, survey
 
 KIND = Likeness(words=3, least=Fraction(3, 5), min_words=20)
 #: A shingle in more prefixes than this is split over several reducers.
 SPLIT = 20_000
-POSTING = np.dtype([("token", "<u8"), ("set", "<u8"), ("n", "<u4"), ("l", "u1"), ("side", "u1")])
+POSTING = np.dtype([("token", "<u8"), ("set", "<u8"), ("bits", "<u8", 4), ("n", "<u4"), ("l", "u1"), ("side", "u1")])
 WHOLE = 255
 
 
-def set_key(a: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(a.tobytes())
+def parity(a: np.ndarray) -> np.ndarray:
+    """256 bits: for each value of the low byte whether the set has an odd number of such shingles.
+
+    Two sets differ in at least as many shingles as their parities differ in bits.
+    """
+    return np.packbits((np.bincount((a & K.U(255)).astype(np.int64), minlength=256) & 1).astype(bool)).view(np.uint64)
 
 
 def _postings(kind: Likeness, common: Common, buckets: int):
-    """Rows of two kinds: (id, set, n) of each record, and (bucket, blob) of packed postings."""
+    """words -> (bucket, blob) of packed postings."""
 
     def split(p: np.ndarray) -> np.ndarray:
         parts = -(-common.of(p["token"]) // SPLIT)
@@ -65,52 +70,34 @@ def _postings(kind: Likeness, common: Common, buckets: int):
         p, b = p[np.argsort(b, kind="stable")], np.sort(b)
         at = np.searchsorted(b, np.arange(buckets + 1))
         for i in range(buckets):
-            for s in range(at[i], at[i + 1], 100_000):
-                yield i, p[s : min(s + 100_000, at[i + 1])].tobytes()
-
-    def rows(ids=(), sets=(), ns=(), blobs=()):
-        m, k = len(ids), len(blobs)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([*ids, *[None] * k], pa.string()),
-                pa.array(np.array(sets, K.U).view(np.int64).tolist() + [None] * k, pa.int64()),
-                pa.array([*ns, *[None] * k], pa.int32()),
-                pa.array([None] * m + [x[0] for x in blobs], pa.int32()),
-                pa.array([None] * m + [x[1] for x in blobs], pa.binary()),
-            ],
-            names=["id", "set", "n", "bucket", "blob"],
-        )
+            for s in range(at[i], at[i + 1], 50_000):
+                blob = p[s : min(s + 50_000, at[i + 1])].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
     def run(batches):
         held, size, seen = [], 0, set()
         for batch in batches:
-            all_ids, texts = batch.column("id").to_pylist(), batch.column("words").to_pylist()
+            texts = batch.column("words").to_pylist()
             for s, e in K.blocks(texts):
-                ids, sets, ns = [], [], []
-                for id_, (a, words) in zip(all_ids[s:e], K.shingle_sets(texts[s:e], kind.words)):
+                for a, words in K.shingle_sets(texts[s:e], kind.words):
                     if words < kind.min_words or not len(a):
                         continue
                     key = set_key(a)
-                    ids.append(id_)
-                    sets.append(key)
-                    ns.append(len(a))
                     if key in seen:
                         continue
                     seen.add(key)
+                    bits = parity(a)
                     a, counts = order(a, common)
                     l, p = prefix_length(len(a), kind, counts)
                     q = np.empty(p, POSTING)
-                    q["token"], q["set"], q["n"], q["l"], q["side"] = a[:p], key, len(a), l, WHOLE
+                    q["token"], q["set"], q["bits"], q["n"], q["l"], q["side"] = a[:p], key, bits, len(a), l, WHOLE
                     held.append(q)
                     size += p
-                yield rows(ids, sets, ns)
-                if size > 1_000_000:
-                    for x in packed(held):
-                        yield rows(blobs=[x])
+                if size > 500_000:
+                    yield from packed(held)
                     held, size, seen = [], 0, set()
         if held:
-            for x in packed(held):
-                yield rows(blobs=[x])
+            yield from packed(held)
 
     return run
 
@@ -152,19 +139,26 @@ def _met(kind: Likeness):
         p = p[np.lexsort((p["set"], p["n"], p["token"]))]
         same = (p["token"][1:] == p["token"][:-1]) & (p["set"][1:] == p["set"][:-1]) & (p["side"][1:] == p["side"][:-1])
         p = p[np.concatenate(([True], ~same))]
-        token, n = p["token"].copy(), p["n"].astype(np.int64)
+        token, n, l, bits = p["token"].copy(), p["n"].astype(np.int64), p["l"].astype(np.int64), p["bits"].copy()
         i, d, held, size = np.arange(len(p)), 1, [], 0
         while len(i):
             i = i[i + d < len(p)]
             j = i + d
             ok = (token[i] == token[j]) & (n[i] * q_ >= n[j] * p_)  # sorted by n: what fails here fails farther on
             i, j = i[ok], j[ok]
-            use = (p["side"][i] != p["side"][j]) | (p["side"][i] == WHOLE)
-            x, y = p[i[use]], p[j[use]]
+            both = n[i] + n[j]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+            overlap = -(-both * p_ // (p_ + q_))
+            use = (apart <= both - 2 * overlap) & ((p["side"][i] != p["side"][j]) | (p["side"][i] == WHOLE))
+            s, t, overlap = i[use], j[use], overlap[use]
+            # Of the set whose prefix ends first, none of the prefix is in the other's rest: overlap <= met + own rest.
+            rest = np.maximum(-(-n[s] * p_ // q_) - l[s], -(-n[t] * p_ // q_) - l[t])
+            need = np.maximum(np.minimum(l[s], l[t]), overlap - rest)
+            x, y = p[s], p[t]
             swap = x["set"] > y["set"]
             x, y = np.where(swap, y, x), np.where(swap, x, y)
             if len(x):
-                held.append((x["set"], y["set"], x["n"], y["n"], np.minimum(x["l"], y["l"]), np.ones(len(x), np.int64)))
+                held.append((x["set"], y["set"], x["n"], y["n"], need, np.ones(len(x), np.int64)))
                 size += len(x)
             if size > 500_000:
                 yield out(_summed(*map(np.concatenate, zip(*held))))
@@ -183,17 +177,13 @@ class NearDuplicates:
         self.kind = kind
         rows = record_rows(chunks)
         self.rows = rows.select("id", "rid", F.concat_ws(" ", "heading", "text").alias("words"))
-        common, total = common_shingles(self.rows.select("words"), kind)
+        found, self.common, total = survey(self.rows, kind)
+        self.members = found.withColumnRenamed("size", "n").distinct()
         self.buckets = max(8, total // postings_per_bucket)
-        found = self.rows.select("id", "words").mapInArrow(
-            _postings(kind, common, self.buckets), "id string, set long, n int, bucket int, blob binary"
-        )
-        self.found = staged(found, "prefix-postings")
-        self.members = staged(self.found.where("id is not null").select("id", "set", "n").distinct(), "set-members")
 
     def candidates(self) -> DataFrame:
         """Pairs of sets (a < b) that share enough prefix shingles."""
-        blobs = self.found.where("blob is not null").select("bucket", "blob")
+        blobs = self.rows.select("words").mapInArrow(_postings(self.kind, self.common, self.buckets), "bucket int, blob binary")
         met = blobs.repartition(self.buckets, "bucket").select("blob").mapInArrow(
             _met(self.kind), "a long, b long, n_a int, n_b int, need int, met long"
         )

@@ -12,9 +12,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import staged
 from . import kernels as K
 
 #: The table of common shingles holds at most so many (1 MB); others count as rare.
@@ -59,43 +61,73 @@ class Common:
         return out
 
 
-def counted(kind: Likeness):
+def set_key(a: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(a.tobytes())
+
+
+SURVEY = "id string, set long, size int, token long, n long"
+
+
+def _survey(kind: Likeness):
+    """Rows of two kinds: (id, set, size) of each text that takes part, and (token, n) counts of a block of texts."""
+
+    def rows(ids=(), sets=(), sizes=(), tokens=(), counts=()):
+        m, k = [None] * len(ids), [None] * len(tokens)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([*ids, *k], pa.string()),
+                pa.array(np.array(sets, K.U).view(np.int64).tolist() + k, pa.int64()),
+                pa.array([*sizes, *k], pa.int32()),
+                pa.concat_arrays([pa.array(m, pa.int64()), pa.array(tokens, pa.int64())]),
+                pa.concat_arrays([pa.array(m, pa.int64()), pa.array(counts, pa.int64())]),
+            ],
+            names=["id", "set", "size", "token", "n"],
+        )
+
+    def flush(held: list[np.ndarray]):
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        often = counts >= 4
+        return rows(tokens=tokens[often].view(np.int64), counts=counts[often])
+
     def run(batches):
         held: list[np.ndarray] = []
         size = total = 0
-
-        def flush():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= 4
-            return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
-
         for b in batches:
-            texts = b.column("words").to_pylist()
+            texts, names = b.column("words").to_pylist(), b.column("id").to_pylist()
             for s, e in K.blocks(texts):
-                for a, _ in K.shingle_sets(texts[s:e], kind.words):
+                ids, sets, sizes = [], [], []
+                for name, (a, words) in zip(names[s:e], K.shingle_sets(texts[s:e], kind.words)):
+                    if words < kind.min_words or not len(a):
+                        continue
                     held.append(a)
                     size += len(a)
+                    ids.append(name)
+                    sets.append(set_key(a))
+                    sizes.append(len(a))
+                yield rows(ids, sets, sizes)
                 if size >= FLUSH:
-                    yield flush()
+                    yield flush(held)
                     total, size, held = total + size, 0, []
         if held:
-            yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total + size])], names=["token", "n"])
+            yield flush(held)
+        yield rows(tokens=[0], counts=[total + size])
 
     return run
 
 
-def common_shingles(texts: DataFrame, kind: Likeness) -> tuple[Common, int]:
-    """The most common shingles of a table (words string), and the number of shingles in all.
+def survey(texts: DataFrame, kind: Likeness) -> tuple[DataFrame, Common, int]:
+    """A table (id string, words string) -> the set of each text, the most common shingles, the number of shingles.
 
-    Every text is counted. Counts are gathered in blocks of some 40,000 texts, and a shingle that stands in fewer than
-    four texts of a block adds nothing to its count; what this leaves out is rare everywhere.
+    The first is (id, set, size) with the set's 64-bit key, for the texts that take part. Every text is counted. Counts
+    are gathered in blocks of some 40,000 texts, and a shingle that stands in fewer than four texts of a block adds
+    nothing to its count; what this leaves out is rare everywhere.
     """
-    n = texts.mapInArrow(counted(kind), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = staged(texts.select("id", "words").mapInArrow(_survey(kind), SURVEY), "survey")
+    n = found.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
     rows = n.orderBy(F.col("token") != 0, F.desc("n"), "token").limit(COMMON + 1).toArrow()  # bounded by COMMON
     tokens, counts = rows.column("token").to_numpy().view(K.U), rows.column("n").to_numpy()
     is_total = tokens == 0
-    return Common(tokens[~is_total], counts[~is_total]), int(counts[is_total].sum())
+    return found.where("set is not null").select("id", "set", "size"), Common(tokens[~is_total], counts[~is_total]), int(counts[is_total].sum())
 
 
 def order(a: np.ndarray, common: Common) -> tuple[np.ndarray, np.ndarray]:
@@ -107,18 +139,18 @@ def order(a: np.ndarray, common: Common) -> tuple[np.ndarray, np.ndarray]:
     return a, n
 
 
-def prefix_length(n: int, kind: Likeness, counts: np.ndarray, most: int = 8, verify: float = 20.0) -> tuple[int, int]:
+def prefix_length(n: int, kind: Likeness, counts: np.ndarray, most: int = 16, verify: float = 0.4) -> tuple[int, int]:
     """(l, prefix length) of least estimated cost.
 
-    A prefix costs its own postings and the postings it meets; of those it meets, at most one in l reaches l matches
-    and has to be verified. Sets of rare shingles keep l = 1; those with common ones in the prefix take more.
+    A prefix costs its own postings and the postings it meets: those of common shingles as counted, half a posting for a
+    rare one. Of the sets met, about half as many share one more shingle each time, and those that share l have to be
+    verified, at a cost that grows with their size. So large sets and sets of common shingles take a longer prefix and
+    ask for more matches.
     """
     need = kind.need(n)
     first = n - need + 1
-    met = np.cumsum(counts)
-    if met[first - 1] == 0:
-        return 1, first
     ls = np.arange(1, max(2, min(most, need) + 1))
     ps = np.minimum(first + ls - 1, n)
-    best = int(np.argmin(4 * ps + met[ps - 1] * (1 + verify / ls)))
+    met = np.cumsum(np.maximum(counts, 0.5))[ps - 1]
+    best = int(np.argmin(4 * ps + met * (1 + verify * n * 0.5 ** (ls - 1))))
     return int(ls[best]), int(ps[best])
