@@ -15,14 +15,12 @@ be applied: they are left out and returned by `late`, for a rebuild.
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import universal_newlines
 from ..scratch import scratch_path, staged
+from .commit import Pointer
 
 BUCKETS = 32
 
@@ -74,33 +72,8 @@ class SnapshotIndex:
         self.spark, self.buckets = spark, buckets
         self.path = path or scratch_path(spark, "snapshot-index")
         self.late: DataFrame | None = None
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(
-            spark.sparkContext._jsc.hadoopConfiguration()
-        )
-        self.version = self._current()
-
-    # The pointer is one small file that is renamed into place, after the new version is written as a whole.
-    def _hpath(self, *parts: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
-
-    def _current(self) -> int:
-        at = self._hpath("CURRENT")
-        if not self._fs.exists(at):
-            return 0
-        rows = self.spark.read.text(f"{self.path}/CURRENT").collect()  # one line
-        return json.loads(rows[0][0])["version"]
-
-    def _swap(self, version: int) -> None:
-        new, jvm = self._hpath(f"CURRENT.{os.getpid()}"), self.spark.sparkContext._jvm
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        overwrite = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-        kinds = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
-        kinds[0] = overwrite
-        context.rename(new, self._hpath("CURRENT"), kinds)
-        self.version = version
+        self._pointer = Pointer(spark, self.path)
+        self.version = (self._pointer.read() or {}).get("version", 0)
 
     _ddl = "series string, key string, hash string, snapshot_date string, bucket int"
 
@@ -113,7 +86,7 @@ class SnapshotIndex:
     def values(self) -> DataFrame:
         """(series, key, hash, text, bucket) of the last snapshot; read only where an old value is asked for."""
         ddl = "series string, key string, hash string, text string, bucket int"
-        if not self.version or not self._fs.exists(self._hpath(f"v{self.version}", "values")):
+        if not self.version or not self._pointer.exists(f"v{self.version}", "values"):
             return self.spark.createDataFrame([], ddl)
         return self.spark.read.schema(ddl).parquet(f"{self.path}/v{self.version}/values")
 
@@ -191,7 +164,8 @@ class SnapshotIndex:
                 fresh.join(last, ["series", "snapshot_date"], "left_semi").select("series", "key", "hash", "text", "bucket")
             )
             by_bucket(kept.dropDuplicates(["series", "key", "hash"])).parquet(f"{target}/values")
-        self._swap(self.version + 1)
+        self._pointer.swap({"version": self.version + 1})
+        self.version += 1
         columns = ["series", "snapshot_date", "key", "change_kind"] + ["old_text", "new_text"] * with_values
         return events.select(*columns)
 

@@ -5,19 +5,309 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.snapshot_diff import snapshot_changes
+from ..functions.buckets import sha2_bucket
+from ..functions.text import ascii_tokens, content_hash, decode_utf8, is_blank, strip
+from ..functions.vectors import cosine, score
+from ..operators.chunking import chunk
+from ..operators.embed import HashEmbedder, query_similarity, sparse
+from ..operators.ingest import stored_chunks
+from ..operators.search import MAX_QUERY, batch_top_k, bounded_k, citation_json, lexically_within, search_knowledge, top_k
+from ..operators.snapshot_diff import SnapshotIndex, latest_deliveries, snapshot_changes, snapshot_records
+from ..operators.snapshots import chunk_key, parse_series, series_files, shown_dates, snapshot_plan, span_signatures
+from ..operators.store import ChunkStore
+from ..sources.files import EXCLUDED
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUESTION = "Which crew measures the shared signal of the relay pump?"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- sources and text ---
+
+
+def content_hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = decode_utf8(F.col("content"))
+    rows = table(spark, sf_dir, "files").select("file_no", "batch_no", text.alias("text")).distinct()
+    return rows.select(
+        "file_no", "batch_no", F.length("text").cast("long").alias("n_chars"), is_blank(F.col("text")).alias("skipped"), content_hash(F.col("text")).alias("sha256")
+    )
+
+
+def corpus_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rel = F.col("rel")
+    fits = F.lower(rel).rlike(r"[^/]\.(md|markdown)$")
+    for prefix in EXCLUDED:
+        fits = fits & ~rel.startswith(prefix)
+    return table(spark, sf_dir, "documents").where(fits).select("doc_id", "rel")
+
+
+def skip_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(is_blank(F.col("text"))).select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
+# --- chunks ---
+
+
+def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(spark, sf_dir).select(
+        "doc_id", "chunk_index", "heading", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5")
+    )
+
+
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.coalesce(F.lower("lang"), F.lit("none")).alias("label")
+    return _chunked(spark, sf_dir).groupBy(label).agg(
+        F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("docs"), F.sum(F.length("text").cast("long")).alias("chars"), F.max("chunk_index").alias("last_index")
+    )
+
+
+def chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = table(spark, sf_dir, "chunks").select("id", chunk_key(F.col("heading"), F.col("text")).alias("key"))
+    return keyed.groupBy("key").agg(F.countDistinct("id").alias("ids"), F.min("id").alias("first_id"))
+
+
+# --- vectors ---
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(ascii_tokens(F.col("text"))).alias("token"))
+    return words.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+def token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(ascii_tokens(F.col("text"))).alias("token"))
+    return words.groupBy(sha2_bucket(F.col("token"), 256).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def hash_embed_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sparse(rows, ["doc_id"]).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+def hash_embed_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return HashEmbedder().embed(_chunked(spark, sf_dir).select("doc_id", "chunk_index", "text")).drop("text")
+
+
+def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    first = rows.orderBy("vec_id").select("embedding").first()[0]
+    q = F.array(*[F.lit(float(x)) for x in first])
+    return top_k(rows, cosine(F.col("embedding"), q), 10, "vec_id").select("vec_id", score(F.col("similarity")).alias("score"))
+
+
+def topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    best = batch_top_k(asked, rows, 5, row_id="vec_id")
+    return best.select("query_id", "vec_id", score(F.col("similarity")).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def topk_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth chunk with a vector against all chunks: chunks have short vectors, so ties are common."""
+    rows = table(spark, sf_dir, "chunks").where("embedding is not null").groupBy("id").agg(F.min("embedding").alias("embedding"))
+    asked = rows.where(F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(100)) == 0).withColumnRenamed("id", "query_id")
+    best = batch_top_k(asked, rows, 3)
+    return best.groupBy("query_id").agg(F.round(F.min("similarity"), 3).alias("third"), F.count("*").alias("hits"))
+
+
+# --- search ---
+
+
+def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: chunk, embed and rank in one pass over the documents, without a shuffle before the last five rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "rel", "text")
+    hits = chunk(docs).withColumn("score", F.round(query_similarity(F.col("text"), QUESTION), 4))
+    best = hits.orderBy(F.desc("score"), "doc_id", "chunk_index").limit(5)
+    nothing = F.lit(None).cast("string")
+    cited = citation_json(F.col("rel"), F.col("heading"), F.col("chunk_index"), nothing, F.lit(None).cast("int"), nothing)
+    return best.select("doc_id", "chunk_index", "score", cited.alias("citation"))
+
+
+def search_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sources lie inside the corpus root, for the notes' own paths and for paths that leave and come back."""
+    rels = table(spark, sf_dir, "files").select("file_no", "rel").distinct()
+    forms = F.array(
+        F.col("rel"), F.concat(F.lit("../"), "rel"), F.concat(F.lit("../vault/"), "rel"), F.concat(F.lit("/srv/vault/"), "rel"), F.concat(F.lit("/srv/vault2/"), "rel"), F.concat(F.lit("a/./../"), "rel"), F.lit("")
+    )
+    rows = rels.select("file_no", F.posexplode(forms).alias("form", "source"))
+    return rows.select("file_no", "form", lexically_within("/srv/vault", F.col("source")).alias("inside"))
+
+
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "chunks").select("id", "source", "heading", "chunk_index", "snapshot_date", "repeat_count", "repeat_dates")
+    return rows.select("id", citation_json(*[F.col(c) for c in ("source", "heading", "chunk_index", "snapshot_date", "repeat_count", "repeat_dates")]).alias("citation")).distinct()
+
+
+def query_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text taken as a query: what the search would say to it before it looks anything up."""
+    q = F.col("text")
+    verdict = F.when(is_blank(q) | (F.length(q) > MAX_QUERY), "invalid_query").otherwise("ok")
+    return table(spark, sf_dir, "documents").select("doc_id", verdict.alias("verdict"))
+
+
+def clamp_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = ["-3", "0", "1", "5", "20", "21", "1000", "", "ten", "1e400"]
+    return spark.createDataFrame([(i, x, bounded_k(x)) for i, x in enumerate(asked)], "n int, asked string, k int")
+
+
+def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search contract on a real store: the answer's shape as rows."""
+    store = ChunkStore(spark, None, "knowledge", HashEmbedder(64))
+    rows = chunk(table(spark, sf_dir, "documents").where("text is not null").select(F.col("rel").alias("source"), "text"))
+    store.add(rows.withColumn("id", F.concat("source", F.lit("::"), "chunk_index")).dropDuplicates(["id"]))
+    answer = search_knowledge(QUESTION, 7, store=store, corpus_root="/srv/vault")
+    found = [(i, r["citation"]["source"], r["citation"]["chunk_index"], r["score"]) for i, r in enumerate(answer["results"])]
+    return spark.createDataFrame(found, "place int, source string, chunk_index int, score double")
+
+
+# --- dated series ---
+
+
+def series_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rels = table(spark, sf_dir, "manifest").select("rel").unionByName(table(spark, sf_dir, "snapshot_chunks").select("rel")).distinct()
+    series, date = parse_series(F.col("rel"))
+    return rels.select("rel", series.alias("series"), date.alias("snapshot_date"))
+
+
+def series_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = series_files(table(spark, sf_dir, "snapshot_chunks").select("rel"))
+    return files.select("rel", "series", "snapshot_date", F.col("n").cast("long").alias("n"))
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = latest_deliveries(table(spark, sf_dir, "snapshot_chunks").where("rel is not null"))
+    keyed = rows.select("rel", "chunk_index", chunk_key(F.col("heading"), F.col("text")).alias("key")).distinct()
+    return snapshot_plan(series_files(rows), keyed)
+
+
+def snapshot_plan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir).select("rel", "chunk_index", "owner_rel", "owner_index", "is_kept", F.array_join("repeat_dates", ",").alias("dates"))
+
+
+def snapshot_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_signatures(_plan(spark, sf_dir))
+
+
+def snapshot_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = table(spark, sf_dir, "snapshot_plan").where("is_kept").distinct()
+    return kept.select("rel", "chunk_index", shown_dates(F.col("repeat_dates")).alias("shown"), (F.size("repeat_dates") + 1).alias("repeat_count"))
+
+
+def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series, _ = parse_series(F.col("rel"))
+    plan = table(spark, sf_dir, "snapshot_plan").distinct().withColumn("series", series)
+    return plan.groupBy("series").agg(F.count("*").alias("chunks"), F.sum(F.when(~F.col("is_kept"), 1).otherwise(0)).alias("suppressed"))
+
+
+# --- manifest and store ---
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "manifest").select("rel", F.lower(strip(F.col("sha256"))).alias("sha256"), "chunks", "kept", "spanh")
+    return rows.groupBy("rel").agg(F.max(F.struct("sha256", "chunks", "kept", "spanh")).alias("m")).select("rel", "m.*")
+
+
+def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = decode_utf8(F.col("content"))
+    now = table(spark, sf_dir, "files").where("batch_no <= 4").select("rel", text.alias("text")).where(~is_blank(F.col("text")))
+    now = now.groupBy("rel").agg(F.min(content_hash(F.col("text"))).alias("sha"))
+    both = now.join(_manifest(spark, sf_dir).select("rel", "sha256", F.lit(True).alias("known")), "rel", "full")
+    state = (
+        F.when(F.col("sha").isNull(), "gone").when(F.col("known").isNull(), "new").when(F.col("sha") == F.col("sha256"), "unchanged").otherwise("changed")
+    )
+    return both.select("rel", state.alias("state"))
+
+
+def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = manifest_diff(spark, sf_dir)
+    return state.agg(*[F.sum(F.when(F.col("state") == s, 1).otherwise(0)).alias(f"files_{s}") for s in ("new", "changed", "unchanged", "gone")])
+
+
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_chunks(_manifest(spark, sf_dir)).select(F.concat("rel", F.lit("::"), F.col("chunk_index").cast("string")).alias("id"))
+
+
+def stale_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(spark, sf_dir).join(table(spark, sf_dir, "chunks").select("id"), "id", "left_anti").distinct()
+
+
+def missing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks").select("id").join(_ids(spark, sf_dir), "id", "left_anti").distinct()
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[ChunkStore, DataFrame]:
+    """A store with the chunks as first ingested, and the later rows of ids that came twice."""
+    rows = table(spark, sf_dir, "chunks").where("collection = 'knowledge'")
+    at = F.coalesce("ingested_at", F.lit("0001-01-01").cast("timestamp_ntz"))
+    edge = rows.groupBy("id").agg(F.min(F.struct(at.alias("at"), F.coalesce("heading", F.lit("")).alias("heading"))).alias("first"))
+    marked = rows.join(edge, "id").withColumn("is_first", (at == F.col("first.at")) & (F.coalesce("heading", F.lit("")) == F.col("first.heading")))
+    store = ChunkStore(spark, None, "knowledge", HashEmbedder(8))
+    store.commit(upsert=marked.where("is_first"))
+    return store, marked.where("not is_first")
+
+
+def _shown(store: ChunkStore) -> DataFrame:
+    return store.table().select("id", F.coalesce("heading", F.lit("")).alias("heading"), "repeat_count", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, later = _stored(spark, sf_dir)
+    store.commit(upsert=later)
+    return _shown(store)
+
+
+def delete_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = _stored(spark, sf_dir)
+    store.delete(store.table().where("chunk_index % 5 = 0").select("id"))
+    return _shown(store)
+
+
+def refresh_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = _stored(spark, sf_dir)
+    new = store.metadata().where("snapshot_date is not null").withColumn("repeat_count", F.col("repeat_count") + 1)
+    store.update_metadata(new)
+    return _shown(store)
+
+
+def store_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = _stored(spark, sf_dir)
+    return store.metadata().groupBy("source").agg(F.count("*").alias("chunks"))
+
+
+def store_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = _stored(spark, sf_dir)
+    return store.table().agg(F.count("*").alias("chunks"))
+
+
+# --- problem 2 ---
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_changes(table(spark, sf_dir, "snapshot_chunks"))
 
 
+def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes with the lengths of the old and new values."""
+    changes = SnapshotIndex(spark).apply(snapshot_records(table(spark, sf_dir, "snapshot_chunks")), with_values=True)
+    return changes.select(
+        "series", "snapshot_date", F.col("key").alias("heading"), "change_kind", F.md5(F.col("old_text").cast("binary")).alias("old_md5"), F.md5(F.col("new_text").cast("binary")).alias("new_md5")
+    )
+
+
+_helpers = {"table"}
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found}
+    from inspect import isfunction
+
+    mine = {k: v for k, v in globals().items() if isfunction(v) and v.__module__ == __name__ and k[0] != "_"}
+    return {k: v for k, v in mine.items() if k not in _helpers | {"queries"}}
