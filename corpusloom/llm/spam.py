@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.sizes import only
 from ..scratch import staged
 
 HEAD, MIN_PAGES, LANGUAGES = 22, 5, 200
@@ -37,6 +38,7 @@ LEAST_CHARS, LIST_SHARE = 200, 0.5
 AGREEMENT = 0.35
 
 WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\W\d_\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
+ASCII_WORD = re.compile(r"[a-z]+")
 URL = re.compile(r"(?:https?|ftp)://[^\s<>()\"'\]]+|\bwww\.[^\s<>()\"'\]]+")
 TAG = re.compile(r"<[^<>]{1,2000}>")
 LINK = re.compile(r"!?\[[^\[\]\n]{0,500}\]\([^()\s]{1,2000}\)|\[\[[^\[\]\n]{1,500}\]\]|<a\b[^<>]{0,2000}>.{0,500}?</a>|(?:https?|ftp)://[^\s<>()\"'\]]+", re.I)
@@ -51,8 +53,19 @@ LOG = re.compile(r"\s*\[?(?:\d{4}-\d\d-\d\d|\d\d:\d\d)\S*(?:[ T]\d\d:\d\d\S*)?\]
 CODE = re.compile(r"(?: {4}|\t)\S")
 
 
+def words_of(lowered: str) -> list[str]:
+    return (ASCII_WORD if lowered.isascii() else WORD).findall(lowered)
+
+
 def page_words(text: str) -> list[str]:
-    return WORD.findall(TAG.sub(" ", URL.sub(" ", TARGET.sub("] ", text.lower()))))
+    text = text.lower()
+    if "](" in text:
+        text = TARGET.sub("] ", text)
+    if "://" in text or "www." in text:
+        text = URL.sub(" ", text)
+    if "<" in text:
+        text = TAG.sub(" ", text)
+    return words_of(text)
 
 
 def dark(text: str) -> int:
@@ -131,41 +144,41 @@ def list_chars(text: str, heads: dict[str, dict[str, float]]) -> int:
 
 #: Ranks at which a curve is read: close together at the top, then by the root of two.
 RANKS = sorted({round(2 ** (i / 2)) for i in range(34)})
-_PAGE = "page long, doc_id long, lang string, words long, chars long, list_chars long, agreement double, curve array<struct<rank: int, n: long>>"
+_PAGE = "page long, doc_id long, lang string, words long, chars long, agreement double, curve array<struct<rank: int, n: long>>"
 
 
 def _measure(heads: dict[str, dict[str, float]]):
     point = pa.list_(pa.struct([("rank", pa.int32()), ("n", pa.int64())]))
-    known = set(heads)
 
     def run(batches):
         for b in batches:
             out = []
-            for page, doc, text, lang in zip(*(b.column(c).to_pylist() for c in ("page", "doc_id", "text", "lang"))):
-                words = WORD.findall(text.lower())  # link targets too: a page of links is no prose
+            for page, doc, text in zip(*(b.column(c).to_pylist() for c in ("page", "doc_id", "text"))):
+                words = words_of(text.lower())  # link targets too: a page of links is no prose
                 count = Counter(words)
                 ranked = sorted(count.values(), reverse=True)
                 curve = [{"rank": r, "n": ranked[r - 1]} for r in RANKS if r <= len(ranked)]
-                judged = {} if _label(lang) and _label(lang) not in known else heads
                 fit, best = agreement(count, len(words), heads) if words else (0.0, "")
-                out.append((page, doc, best, len(words), dark(text), list_chars(text, judged), fit, curve))
-            cols = list(zip(*out)) if out else [[]] * 8
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), point]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _PAGE.split(", ", 7)])
+                out.append((page, doc, best, len(words), dark(text), fit, curve))
+            cols = list(zip(*out)) if out else [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), point]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _PAGE.split(", ", 6)])
 
     return run
 
 
-def page_curves(documents: DataFrame) -> DataFrame:
-    """(page, doc_id, lang, words, chars, list_chars, agreement, slope, residual) of every page with a text.
+def _rows(documents: DataFrame) -> DataFrame:
+    rows = documents.where("text is not null and doc_id is not null")
+    return rows.select(F.xxhash64("doc_id", "text", "lang").alias("page"), "doc_id", "text", "lang")
+
+
+def page_curves(documents: DataFrame, heads: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(page, doc_id, lang, words, chars, agreement, slope, residual) of every page with a text.
 
     slope and residual are those of the line fitted to log frequency on log rank, null for fewer than three points.
     """
-    heads = prose_heads(documents)
-    rows = documents.where("text is not null and doc_id is not null").select(
-        F.xxhash64("doc_id", "text", "lang").alias("page"), "doc_id", "text", "lang"
-    )
-    pages = staged(rows.mapInArrow(_measure(heads), _PAGE), "page-curves")
+    heads = prose_heads(documents) if heads is None else heads
+    pages = staged(_rows(documents).select("page", "doc_id", "text").mapInArrow(_measure(heads), _PAGE), "page-curves")
     w = Window.partitionBy("page")
     points = pages.select("page", F.explode("curve").alias("p")).select("page", F.log(F.col("p.rank")).alias("x"), F.log(F.col("p.n")).alias("y")).distinct()
     fitted = (
@@ -203,7 +216,23 @@ def suspects(curves: DataFrame, spread: float = 1.0) -> DataFrame:
     return curves.join(line, ["lang", "length"]).withColumn("suspect", out)
 
 
+def measured(documents: DataFrame, pages: DataFrame, heads: dict[str, dict[str, float]]) -> DataFrame:
+    """(page, doc_id, chars, list_chars) of the given pages (a staged table with their key)."""
+
+    def run(batches):
+        for b in batches:
+            got = []
+            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
+                got.append(list_chars(text, {} if _label(lang) and _label(lang) not in heads else heads))
+            chars = [dark(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("page"), b.column("doc_id"), pa.array(chars, pa.int64()), pa.array(got, pa.int64())], names=["page", "doc_id", "chars", "list_chars"])
+
+    return only(_rows(documents), pages, "page").mapInArrow(run, "page long, doc_id long, chars long, list_chars long")
+
+
 def list_pages(documents: DataFrame) -> DataFrame:
     """(doc_id) of the keyword-stuffed and link-list pages."""
-    found = suspects(page_curves(documents)).where("suspect")
-    return found.where((F.col("chars") >= LEAST_CHARS) & (F.col("list_chars") > LIST_SHARE * F.col("chars"))).select("doc_id").distinct()
+    heads = prose_heads(documents)
+    found = suspects(page_curves(documents, heads)).where(F.col("suspect") & (F.col("chars") >= LEAST_CHARS))
+    seen = measured(documents, staged(found.select("page").distinct(), "suspect-pages"), heads)
+    return seen.where(F.col("list_chars") > LIST_SHARE * F.col("chars")).select("doc_id").distinct()
