@@ -30,7 +30,7 @@ from ..functions.text import content_hash, decode_utf8, is_blank, strip
 from ..operators.sizes import only
 from ..scratch import scratch_path, staged
 from . import kernels as K
-from .prefixes import Common, Likeness, common_shingles, order
+from .prefixes import Common, Likeness, order, survey
 
 KIND = Likeness(words=3, least=Fraction(7, 10))
 BUCKETS = 16
@@ -148,8 +148,9 @@ class HistoryIndex:
         """
         p, q = self.kind.least.numerator, self.kind.least.denominator
         own = texts.select("text_key", "n", F.explode("prefix").alias("token"))
+        probed = staged(own.select("token").distinct(), "batch-tokens")
         other = (
-            self.table("postings")
+            only(self.table("postings"), probed, "token")
             .select("token", F.col("text_key").alias("other"), F.col("n").alias("m"), F.lit(True).alias("held"))
             .unionByName(own.select("token", F.col("text_key").alias("other"), F.col("n").alias("m"), F.lit(False).alias("held")))
         )
@@ -206,7 +207,7 @@ def refused_files(files: DataFrame, manifest: DataFrame, path: str | None = None
     texts = texts.join(listed.withColumn("listed", F.lit(True)), "file_no", "left")
     texts = staged(texts.withColumn("batch_no", F.when(F.col("listed"), F.least(F.col("batch_no"), F.lit(0))).otherwise(F.col("batch_no"))).drop("listed"), "file-texts")
     history = texts.where("batch_no <= 0")
-    common, _ = common_shingles(history.select(F.col("text").alias("words")), KIND)
+    _, common, _ = survey(history.select(F.col("sha").alias("id"), F.col("text").alias("words")), KIND)
     index = HistoryIndex(spark, path, KIND, common)
     ready = staged(index.prepare(texts), "prepared-files")
     first = ready.where("batch_no <= 0")

@@ -1,7 +1,65 @@
-"""SQL that checks this package's queries on whole tables, where SQL is fast enough."""
+"""SQL that checks this package's queries on whole tables, where SQL is fast enough.
+
+There is none for p5 (acceptance in order), p6 (packings are not unique), p8 (fitted statistics) and the reports of
+passages and pieces; tests hold these against brute force on small tables.
+"""
 
 from __future__ import annotations
 
+_RECORDS = """
+rows_ as (
+  select id, heading, coalesce(text, '') as text, collection,
+    row_number() over (partition by id order by coalesce(heading, '') = '', coalesce(ingested_at, timestamp '0001-01-01') desc) as k
+  from chunks where id is not null),
+records as (select * from rows_ where k = 1)
+"""
+
+# A place may be cut after a line end or a CJK full stop, or after . ! ? before white space.
+_GAPS = f"""
+{_RECORDS},
+long_ as (
+  select r.id, r.text, i.max_chars from records r join (select collection, min(max_chars) as max_chars from run_identity group by 1) i using (collection)
+  where length(r.text) > i.max_chars),
+chars as (select id, max_chars, length(text) as size, unnest(regexp_extract_all(text, '(?s).')) as c, unnest(range(1, length(text) + 1)) as pos from long_),
+places as (
+  select id, max_chars, size, pos from (select *, lead(c) over (partition by id order by pos) as next from chars)
+  where pos = size or c = chr(10) or c = chr(12290) or (c in ('.', '!', '?') and regexp_matches(next, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]'))),
+gaps as (select id, max_chars, pos - coalesce(lag(pos) over (partition by id order by pos), 0) as gap from places)
+"""
+
+_SHINGLES = f"""
+{_RECORDS},
+words as (select id, regexp_extract_all(lower(coalesce(heading, '') || ' ' || text), '[a-z0-9]+') as w from records),
+runs as (
+  select distinct id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as s
+  from (select id, w, unnest(range(1, len(w) - 1)) as i from words where len(w) >= 20)),
+sizes as (select id, count(*) as n from runs group by id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"""
+            with {_RECORDS},
+            places as (select id, i as s, substring(text, i + 1, 200) as piece from (select id, text, unnest(range(length(text) - 199)) as i from records where length(text) >= 200)),
+            shared as (select md5_number(piece) as h from places group by 1 having min(id) <> max(id)),
+            hits as (select p.id, p.s from places p join shared on md5_number(p.piece) = shared.h),
+            marked as (select id, s, case when s <= lag(s) over (partition by id order by s) + 200 then 0 else 1 end as new from hits),
+            grouped as (select id, s, sum(new) over (partition by id order by s) as g from marked)
+            select id, min(s)::bigint as span_start, (max(s) + 200)::bigint as span_end from grouped group by id, g""",
+        "p3_found": f"with {_GAPS} select id, max((gap > max_chars)::int)::bigint as forced from gaps group by id",
+        "p4_found": f"""
+            with {_SHINGLES},
+            met as (select a.id as id_a, b.id as id_b, count(*) as m from runs a join runs b on a.s = b.s and a.id < b.id group by 1, 2)
+            select id_a, id_b from met join sizes x on x.id = id_a join sizes y on y.id = id_b where m * 8 >= 3 * (x.n + y.n)""",
+        "p7_found": """
+            with w as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items),
+            windows as (
+              select item_id, w[i:i + least(13, len(w)) - 1] as g
+              from (select *, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from w where len(w) > 0)),
+            d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents),
+            sizes as (select distinct len(g) as n from windows),
+            runs as (
+              select doc_id, w[i:i + n - 1] as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n))
+            select distinct doc_id, item_id from runs join windows using (g)""",
+    }
