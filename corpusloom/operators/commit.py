@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -26,18 +27,16 @@ class Pointer:
         self._fs.delete(self.at(), True)
 
     def read(self) -> dict | None:
-        """What is current; None if nothing is, or if the file is not JSON."""
+        """What is current; None if nothing is, or if the file is damaged: then all is made anew."""
         if not self.exists("CURRENT"):
             return None
         stream = self._fs.open(self.at("CURRENT"))
         try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            out = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except (Py4JJavaError, ValueError):
+            return None
         finally:
             stream.close()
-        try:
-            out = json.loads(text)
-        except ValueError:
-            return None
         return out if isinstance(out, dict) else None
 
     def swap(self, current: dict) -> None:

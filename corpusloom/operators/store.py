@@ -6,6 +6,8 @@ folders, together with the manifest's. A reader, or a run that dies half-way, ne
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,7 @@ class ChunkStore:
             touched = {r[0] for r in all_ids.select("bucket").distinct().collect()}  # at most `buckets` numbers
         folders = dict(state["buckets"])
         version = state["version"] + 1
+        folder = f"v{version}-{uuid.uuid4().hex[:8]}"
         if touched:
             held = [f"{self._pointer.path}/{folders[str(b)]}" for b in sorted(touched) if str(b) in folders]
             old = self.spark.read.schema(COLUMNS).parquet(*held) if held and not replace else self.spark.createDataFrame([], COLUMNS)
@@ -111,15 +114,15 @@ class ChunkStore:
                 old = old.select(*names).unionByName(upsert.dropDuplicates(["id"]).select(*names))
             out = old.select(*names, self._bucket().alias("bucket"))
             out.repartition("bucket").sortWithinPartitions("bucket", "source", "chunk_index").write.partitionBy("bucket").parquet(
-                f"{self._pointer.path}/v{version}/chunks"
+                f"{self._pointer.path}/{folder}/chunks"
             )
             for b in touched:
                 folders.pop(str(b), None)
-                if self._pointer.exists(f"v{version}/chunks/bucket={b}"):
-                    folders[str(b)] = f"v{version}/chunks/bucket={b}"
+                if self._pointer.exists(f"{folder}/chunks/bucket={b}"):
+                    folders[str(b)] = f"{folder}/chunks/bucket={b}"
         at = state["manifest"]
         if manifest is not None:
-            at = f"v{version}/manifest"
+            at = f"{folder}/manifest"
             manifest.select(*[c.split()[0] for c in MANIFEST.split(", ")]).write.parquet(f"{self._pointer.path}/{at}")
         self._pointer.swap(
             {
