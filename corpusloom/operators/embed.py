@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -127,24 +128,27 @@ def squared_norm(sorted_buckets: Column) -> Column:
 
 
 def sparse(df: DataFrame, key: list[str], text: str = "text", dim: int = 256) -> DataFrame:
-    """(key, bucket, weight): the non-zero entries of the unit vectors, a row each."""
+    """(key, bucket, weight): the non-zero entries of the unit vectors, a row each.
+
+    In the sorted buckets the last of each run knows the run's length from where the run before it ended.
+    """
     b = df.select(*key, buckets(F.col(text), dim).alias("b")).where(F.size("b") > 0)
-    b = b.withColumn("length", F.sqrt(squared_norm(F.col("b")).cast("double")))
-    entries = F.transform(F.array_distinct("b"), lambda x: F.struct(x.alias("bucket"), F.size(F.filter("b", lambda y: y == x)).alias("n")))
+    ends = F.filter(F.transform("b", lambda x, i: F.when(F.coalesce(F.get("b", i + 1) != x, F.lit(True)), i)), lambda i: i.isNotNull())
+    b = b.withColumn("ends", ends).withColumn("length", F.sqrt(squared_norm(F.col("b")).cast("double")))
+    entries = F.transform("ends", lambda e, k: F.struct(F.get("b", e).alias("bucket"), (e - F.coalesce(F.get("ends", k - 1), F.lit(-1))).alias("n")))
     return b.select(*key, "length", F.explode(entries).alias("e")).select(*key, "e.bucket", (F.col("e.n") / F.col("length")).alias("weight"))
 
 
-def query_similarity(text: Column, query: str, dim: int = 256) -> Column:
-    """Cosine of a text's bag of words with that of a query, as an expression on the row."""
-    import hashlib
+def with_query_similarity(df: DataFrame, query: str, text: str = "text", dim: int = 256) -> DataFrame:
+    """df with `similarity`, the cosine of each text's bag of words with that of a query; nothing is shuffled.
 
-    tokens = _TOKEN.findall(query.lower())
-    want = Counter(int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % dim for t in tokens)
+    The buckets are a column of their own, so that each token is hashed once for both the product and the length.
+    """
+    want = Counter(int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % dim for t in _TOKEN.findall(query.lower()))
     if not want:
-        return F.lit(0.0)
-    b = buckets(text, dim)
+        return df.withColumn("similarity", F.lit(0.0))
     length = math.sqrt(sum(n * n for n in want.values()))
-    weights = F.create_map(*[F.lit(x) for kv in sorted(want.items()) for x in kv])
-    met = F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(F.element_at(weights, x).cast("long"), F.lit(0)))
-    n = F.sqrt(squared_norm(b).cast("double"))
-    return F.when(n > 0, met / (n * F.lit(length))).otherwise(F.lit(0.0))
+    weights = F.array(*[F.lit(want[i]).cast("long") for i in range(dim)])
+    met = F.aggregate("buckets_", F.lit(0).cast("long"), lambda s, x: s + F.get(weights, x))
+    b = df.withColumn("buckets_", buckets(F.col(text), dim)).withColumn("norm_", F.sqrt(squared_norm(F.col("buckets_")).cast("double")))
+    return b.withColumn("similarity", F.when(F.col("norm_") > 0, met / (F.col("norm_") * F.lit(length))).otherwise(F.lit(0.0))).drop("buckets_", "norm_")

@@ -17,3 +17,9 @@ def by_size(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
 def only(df: DataFrame, keys: DataFrame, on: str, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Rows of df whose column `on` is in keys (one 64-bit column of that name, staged)."""
     return df.join(by_size(keys, limit), on, "left_semi")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if it has fewer partitions than there are cores, as one small file has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,9 +11,10 @@ from ..functions.buckets import sha2_bucket
 from ..functions.text import ascii_tokens, content_hash, decode_utf8, is_blank, strip
 from ..functions.vectors import cosine, score
 from ..operators.chunking import chunk
-from ..operators.embed import HashEmbedder, query_similarity, sparse
+from ..operators.embed import HashEmbedder, sparse, with_query_similarity
 from ..operators.ingest import stored_chunks
 from ..operators.search import MAX_QUERY, batch_top_k, bounded_k, citation_json, lexically_within, search_knowledge, top_k
+from ..operators.sizes import spread
 from ..operators.snapshot_diff import SnapshotIndex, latest_deliveries, snapshot_changes, snapshot_records
 from ..operators.snapshots import chunk_key, parse_series, series_files, shown_dates, snapshot_plan, span_signatures
 from ..operators.store import ChunkStore
@@ -24,7 +25,7 @@ QUESTION = "Which crew measures the shared signal of the relay pump?"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # --- sources and text ---
@@ -125,7 +126,7 @@ def topk_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: chunk, embed and rank in one pass over the documents, without a shuffle before the last five rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "rel", "text")
-    hits = chunk(docs).withColumn("score", F.round(query_similarity(F.col("text"), QUESTION), 4))
+    hits = with_query_similarity(chunk(docs), QUESTION).withColumn("score", F.round("similarity", 4))
     best = hits.orderBy(F.desc("score"), "doc_id", "chunk_index").limit(5)
     nothing = F.lit(None).cast("string")
     cited = citation_json(F.col("rel"), F.col("heading"), F.col("chunk_index"), nothing, F.lit(None).cast("int"), nothing)

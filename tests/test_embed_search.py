@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.buckets import blake2b_bucket, sha2_bucket
-from corpusloom.operators.embed import BGE_PREFIX, HashEmbedder, embedder, neural, query_similarity, sparse
+from corpusloom.operators.embed import BGE_PREFIX, HashEmbedder, embedder, neural, sparse, with_query_similarity
 from corpusloom.operators.search import MAX_QUERY, batch_top_k, bounded_k, citation, citation_json, lexically_within, search_knowledge, within_root
 from corpusloom.operators.store import ChunkStore, DimensionMismatchError
 from corpusloom.server import TOOL, ToolServer
@@ -31,7 +31,7 @@ def test_row_similarity_agrees_with_sparse_vectors(spark):
     want: dict = {1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0}
     for r in sparse(df, ["n"]).collect():
         want[r["n"]] += r["weight"] * q.get(r["bucket"], 0)
-    got = dict(df.select("n", query_similarity(F.col("text"), "the dog")).collect())
+    got = dict(with_query_similarity(df, "the dog").select("n", "similarity").collect())
     assert all(math.isclose(got[n], want[n], abs_tol=1e-9) for n in want)
 
 
