@@ -11,9 +11,11 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_used: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,8 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's folder. It goes when the driver's Python ends: nothing that reads from it outlives that."""
+    app = spark.sparkContext.applicationId
+    if app not in _used:
+        _used.add(app)
+        atexit.register(discard, spark)
+    return f"{shared_dir(spark)}/corpusloom/{app}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
@@ -45,7 +56,9 @@ def staged(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -
 
 
 def discard(spark: SparkSession) -> None:
-    """Delete everything this library staged in the shared folder. Results that still read from it become invalid."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what this application staged in the shared folder. Results that still read from it become invalid."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except (AttributeError, Py4JError, OSError):
+        pass  # the session is gone already, and with it the means to delete
