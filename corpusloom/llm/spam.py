@@ -9,13 +9,14 @@ it diverges from prose in the same way, or consists of links. Tables, logs, code
 is reported if it has at least 200 characters other than white space and more than half of them are in lists.
 
 Prose is described by its head: the HEAD words of a language with the greatest mean share of a page, measured on all
-pages with that label. A text's agreement is the share of its words that are head words, each counted at most as often
+pages with that label. Copies of a text together count as one page, and words are ranked without the TRIM of pages in
+which each is most common, so that many pages of one list, copies or nearly, put no word of theirs into the head. A text's agreement is the share of its words that are head words, each counted at most as often
 as about twice its usual share, over the usual share of all of them: about 1 for prose, near 0 for bare keywords, also
 where one head word is repeated in every phrase. Of the languages the best one counts, as labels may be wrong. Words are
 runs of letters; Han and kana characters are words of their own; within a block, and for the prose heads, link targets and tags are not read as words.
 
 Defined results: null and blank texts are never reported. Labels are compared in lower case without blanks; null and
-'und' describe no language. A language with fewer than MIN_PAGES pages of 20 words or more has no head; on pages with
+'und' describe no language. A language with fewer than MIN_PAGES different pages of 20 words or more has no head; on pages with
 such a label only lists of links and hashtags are found. Several rows with one doc_id are pages of their own and the
 doc_id is reported once; rows without doc_id are left out. Empty tables give no rows.
 """
@@ -30,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.sizes import only
+from ..operators.sizes import by_size, only
 from ..scratch import staged
 
 HEAD, MIN_PAGES, LANGUAGES = 22, 5, 200
+TRIM = 0.4
 LEAST_CHARS, LIST_SHARE = 200, 0.5
 AGREEMENT = 0.35
 
@@ -79,33 +81,53 @@ def _label(lang: str | None) -> str:
 
 
 def _shares(batches):
-    """Per task and language the sum over pages of each word's share of the page; words below 1 in 2,000 on average
-    are left out, none of which can be in a head."""
+    """Per task, language, word and level the pages and the sum of the word's shares of them, each page by its weight;
+    a level is a power of two of the share. Words below 1 in 2,000 on average are left out, none of which can be in a head."""
     pages: Counter = Counter()
-    shares: dict[str, Counter] = {}
+    cells: dict[str, dict[tuple[str, int], list[float]]] = {}
     for b in batches:
-        for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
+        for text, lang, weight in zip(*(b.column(c).to_pylist() for c in ("text", "lang", "weight"))):
             lang = _label(lang)
             words = page_words(text) if lang else []
             if len(words) >= 20:
-                pages[lang] += 1
-                mine = shares.setdefault(lang, Counter())
+                pages[lang] += weight
+                mine, size = cells.setdefault(lang, {}), len(words)
                 for w, n in Counter(words).items():
-                    mine[w] += n / len(words)
-    rows = [(lang, "", float(n)) for lang, n in pages.items()]
-    rows += [(lang, w, s) for lang, mine in shares.items() for w, s in mine.items() if s >= pages[lang] / 2000]
-    cols = list(zip(*rows)) if rows else [[], [], []]
-    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["lang", "word", "share"])
+                    cell = mine.setdefault((w, (size // n).bit_length()), [0.0, 0.0])
+                    cell[0] += weight
+                    cell[1] += weight * n / size
+    rows = [(lang, "", 0, float(n), 0.0) for lang, n in pages.items()]
+    for lang, mine in cells.items():
+        total: Counter = Counter()
+        for (w, _), (_, share) in mine.items():
+            total[w] += share
+        rows += [(lang, w, level, seen, share) for (w, level), (seen, share) in mine.items() if total[w] >= pages[lang] / 2000]
+    cols = list(zip(*rows)) if rows else [[]] * 5
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["lang", "word", "level", "seen", "share"])
+
+
+def _weighted(documents: DataFrame) -> DataFrame:
+    """(text, lang, weight): all copies of a text under one label together weigh as one page. No text is moved for it
+    unless more texts have copies than are broadcast."""
+    rows = documents.where("text is not null").select("text", "lang", F.xxhash64(F.lower(F.trim("lang")), "text").alias("copy"))
+    copies = staged(rows.groupBy("copy").agg(F.count("*").alias("copies")).where("copies > 1"), "page-copies")
+    return rows.join(by_size(copies), "copy", "left").select("text", "lang", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
 
 
 def prose_heads(documents: DataFrame) -> dict[str, dict[str, float]]:
     """The head words of each language with their mean shares; at most LANGUAGES times HEAD are collected."""
-    rows = documents.where("text is not null").select("text", "lang").mapInArrow(_shares, "lang string, word string, share double")
-    summed = rows.groupBy("lang", "word").agg(F.sum("share").alias("share"))
-    pages = summed.where("word = ''").select("lang", F.col("share").alias("pages")).where(F.col("pages") >= MIN_PAGES).orderBy(F.desc("pages"), "lang").limit(LANGUAGES)
-    ranked = summed.where("word <> ''").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "word")))
+    rows = _weighted(documents).mapInArrow(_shares, "lang string, word string, level int, seen double, share double")
+    summed = rows.groupBy("lang", "word", "level").agg(F.sum("seen").alias("seen"), F.sum("share").alias("share"))
+    pages = summed.where("word = ''").select("lang", F.round("seen", 6).alias("pages")).where(F.col("pages") >= MIN_PAGES).orderBy(F.desc("pages"), "lang").limit(LANGUAGES)
+    # Of each word the TRIM of all pages in which it is most common is cut off, from the highest level downwards.
+    before = F.coalesce(F.sum("seen").over(Window.partitionBy("lang", "word").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    kept = F.least(F.col("seen"), F.greatest(before + F.col("seen") - F.col("pages") * TRIM, F.lit(0.0)))
+    words = summed.where("word <> ''").join(F.broadcast(pages), "lang").withColumn("kept", kept)
+    words = words.groupBy("lang", "word", "pages").agg(F.sum("share").alias("share"), F.round(F.sum(F.col("share") * F.col("kept") / F.col("seen")), 6).alias("usual"))
+    ranked = words.where("usual > 0").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("usual"), "word")))
     heads: dict[str, dict[str, float]] = {}
-    for lang, word, share, n in ranked.where(F.col("rank") <= HEAD).join(pages, "lang").select("lang", "word", "share", "pages").collect():
+    for lang, word, share, n in ranked.where(F.col("rank") <= HEAD).select("lang", "word", "share", "pages").collect():
         heads.setdefault(lang, {})[word] = share / n
     return heads
 

@@ -55,3 +55,15 @@ def test_line_ends_and_front_matter_do_not_matter():
     text = "---\ntitle: Pump gate lamp\n---\nthe lamp of a gate\n\npump gate, lamp valve, rotor shelf\n"
     assert list_chars(text, head) == list_chars(text.replace("\n", "\r\n"), head) == len("pumpgate,lampvalve,rotorshelf")
     assert list_chars("", head) == 0
+
+
+def test_copies_of_a_list_do_not_become_prose(spark):
+    good, bad = _pages()
+    pages = [(i, t) for i, t in good.items() if i < 120]
+    words = "cheap sofa best lease free gantry bulk winch sale hoist".split()
+    page = lambda n: ", ".join(f"{words[i % 10]} {words[(i * 3 + 1) % 10]}" for i in range(60)) + f", lot{chr(97 + n % 26)}{chr(97 + n // 26)}"
+    for same in (True, False):  # a third of the rows: copies of one list, or lists that differ in a word
+        rows = pages + [(1000 + i, page(0 if same else i)) for i in range(60)]
+        df = spark.createDataFrame([(i, t, "en", "s", 1, 0.5) for i, t in rows], DDL)
+        assert not set(words) & set(prose_heads(df)["en"])
+        assert {r[0] for r in list_pages(df).collect()} == set(range(1000, 1060))
