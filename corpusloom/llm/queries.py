@@ -31,6 +31,10 @@ def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(table(spark, sf_dir, "chunks")).passages().drop("equal")
 
 
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SharedSpans(table(spark, sf_dir, "chunks")).members()
+
+
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(table(spark, sf_dir, "chunks")).report()
 

@@ -6,8 +6,10 @@ that share one seed occurrence form its context.
 
 Matches. Occurrences of one seed are classed by context. Members of a class are joined to the class's first record (and
 that one to another), a number of matches linear in the occurrences; contexts that stand in one record only are joined
-to the other contexts of the seed. A seed with more than `fan` contexts (a boilerplate line shorter than `length`, in
-ever other surroundings) is not joined pair by pair: its windows are hashed and counted, which is exact and linear.
+to the other contexts of the seed, however many there are. spans() needs no pairs: for a seed with more than `fan`
+contexts (a boilerplate line shorter than `length`, in ever other surroundings) windows are hashed and counted instead,
+which is exact and linear. members() lists the records of each seed and context, so that a link that matches do not name
+(two records joined only to the first of their context) can be read from it.
 
 Chains. The matches of two records are chained in order of position: a Fenwick tree over the second record's positions
 holds the best score before each, with a gap cost for the distance skipped. Chains are cut from the best downwards until
@@ -281,15 +283,15 @@ class SharedSpans:
             classes.join(size, "h").withColumn("alone", F.col("a.rid") == F.col("b.rid")), "seed-classes"
         )
 
-    def _matches(self) -> DataFrame:
-        """Matched seed occurrences, (rid, pos) with (other, opos)."""
+    def _matches(self, fan: int | None) -> DataFrame:
+        """Matched seed occurrences, (rid, pos) with (other, opos); seeds with more than fan contexts are not crossed."""
         mine = self.found.join(self.classes, ["h", "context"])
         star = mine.where("not alone").select(
             "rid", "pos", F.when(F.col("rid") != F.col("a.rid"), F.col("a")).otherwise(F.col("b")).alias("o")
         )
         other = self.classes.select("h", F.col("context").alias("context2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
         cross = (
-            mine.where(F.col("alone") & (F.col("contexts") <= self.fan))
+            mine.where(F.col("alone") if fan is None else F.col("alone") & (F.col("contexts") <= fan))
             .select("h", "context", "rid", "pos")
             .join(other, "h")
             .where("context <> context2 and (a2.rid <> rid or b2.rid <> rid)")
@@ -303,7 +305,21 @@ class SharedSpans:
         Pairs are those the matches name: each record with the first record of each of its contexts, and the records
         that hold different contexts of a seed with each other.
         """
-        m = self._matches()
+        return self._passages(None)
+
+    def members(self) -> DataFrame:
+        """(id, seed, context, pos, first, chars): the records of each shared seed, one row for each occurrence.
+
+        Records with one seed have its k characters at pos in common, those with one context also the chars characters
+        from first on. Any two records that share `length` characters have a seed in common.
+        """
+        ids = self.rows.select("rid", "id").distinct()
+        chars = (F.col("windows") + F.lit(self.length - 1)).cast("long").alias("chars")
+        seen = self.found.select("rid", F.col("h").alias("seed"), "context", F.col("pos").cast("long").alias("pos"), F.col("first").cast("long").alias("first"), chars)
+        return seen.distinct().join(ids, "rid").select("id", "seed", "context", "pos", "first", "chars")
+
+    def _passages(self, fan: int | None) -> DataFrame:
+        m = self._matches(fan)
         swap = F.col("rid") > F.col("other")
         pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
         pairs = (
@@ -358,7 +374,7 @@ class SharedSpans:
 
     def spans(self) -> DataFrame:
         """(id, span_start, span_end): the maximal runs of characters shared with another record."""
-        equal = self.passages().select("id_a", "id_b", F.explode("equal").alias("x")).where(F.col("x.n") >= self.length)
+        equal = self._passages(self.fan).select("id_a", "id_b", F.explode("equal").alias("x")).where(F.col("x.n") >= self.length)
         both = equal.select(
             F.explode(
                 F.array(

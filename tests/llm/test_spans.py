@@ -78,3 +78,40 @@ def test_fuzzy_passages():
     found = list(passages(a, b, [(i, 0), (i + 35, 35)], 10))
     assert found[0][:5] == (i, i + len(b), 0, len(b), 1)
     assert edits("kitten", "sitting") == 3 and edits("", "ab") == 2
+
+
+def test_passages_do_not_depend_on_fan(spark):
+    texts = _random_texts(1, "abcdefgh é\U0001f600")
+    df = spark.createDataFrame([(i, None, t, None, 1, 2, "clash") for i, t in texts.items()], DDL)
+    few, many = (SharedSpans(df, length=40, k=15, fan=fan) for fan in (1, 1000))
+    found = {tuple(r)[:7] for r in few.passages().collect()}
+    assert found and found == {tuple(r)[:7] for r in many.passages().collect()}
+
+
+def test_a_stretch_in_more_surroundings_than_fan_keeps_its_passages(spark):
+    rnd = random.Random(3)
+    noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    line = noise(38)
+    texts = {f"n{i:02}": noise(60) + line + noise(60) for i in range(70)}
+    df = spark.createDataFrame([(i, None, t, None, 1, 2, "clash") for i, t in texts.items()], DDL)
+    op = SharedSpans(df, length=40, k=15)
+    assert op.classes.where("contexts > 64").count()
+    pairs = {(r["id_a"], r["id_b"]) for r in op.passages().collect()}
+    seeds: dict = {}
+    for r in op.members().collect():
+        assert texts[r["id"]][r["first"] : r["first"] + r["chars"]].count(texts[r["id"]][r["pos"] : r["pos"] + 15])
+        seeds.setdefault(r["seed"], set()).add(r["id"])
+    assert max(map(len, seeds.values())) > 64
+    for ids in seeds.values():
+        assert {frozenset((a, b)) for a in ids for b in ids if a < b} <= {frozenset(p) for p in pairs}
+
+
+def test_members_hold_every_link(spark):
+    texts = _random_texts(2, "ab")
+    df = spark.createDataFrame([(i, None, t, None, 1, 2, "clash") for i, t in texts.items()], DDL)
+    seeds: dict = {}
+    for r in SharedSpans(df, length=40, k=15).members().collect():
+        seeds.setdefault(r["id"], set()).add(r["seed"])
+    pieces = {i: {t[k : k + 40] for k in range(len(t) - 39)} for i, t in texts.items()}
+    linked = [(a, b) for a in texts for b in texts if a < b and pieces[a] & pieces[b]]
+    assert len(linked) > 50 and all(seeds[a] & seeds[b] for a, b in linked)
