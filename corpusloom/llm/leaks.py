@@ -5,8 +5,9 @@ that is the sorted terms and for each the ascending positions where it stands. I
 test sets. A test set is sent to all rows of the index, in blocks of bounded size. Each window of 13 consecutive words
 of an item (all its words if it has fewer) is looked up by its rarest term, as counted over all documents: each posting
 of that term, less the term's place in the item, is an offset at which the item may lie, and the lists of the words
-next to it are intersected at that offset, outwards until a word does not match. Proximity matches need the rarest few
-terms of a window within a few words of where the offset puts them.
+next to it are intersected at that offset, outwards until a word does not match. A proximity match needs `anchors` of a
+window's 2 * anchors rarest words, of those that occur at all, within a few words of where the offset of one of them puts
+them; any of them may be missing. A window of n words needs n - 1 of them if that is less, but 2 at least, or its only one.
 
 Defined results: words are runs of letters and digits of any script in the lower-cased text. Items without a word match
 nothing. Null texts have no words; rows without doc_id or item_id are left out. Of several rows with one id each
@@ -92,16 +93,37 @@ class Items:
         self.terms, self.term = np.unique(w.hash, return_inverse=True)
         self.item = w.text
 
-    def anchors(self, counts: np.ndarray, k: int = 1):
-        """For each window whose words all occur the k rarest of its words, the rarest first (of equal ones the first)."""
-        count = counts[self.term]
+    def _windows(self):
+        """(start, words) of each window."""
         for i in range(len(self.ids)):
             s, e = int(self.bound[i]), int(self.bound[i + 1])
             n = min(self.window, e - s)
             for at in range(s, e - n + 1) if n else ():
-                c = count[at : at + n]
-                if c.min() > 0:
-                    yield np.argsort(c, kind="stable")[:k] + at
+                yield at, n
+
+    def anchors(self, counts: np.ndarray):
+        """For each window whose words all occur the rarest of its words (of equal ones the first)."""
+        count = counts[self.term]
+        for at, n in self._windows():
+            c = count[at : at + n]
+            if c.min() > 0:
+                yield int(np.argmin(c)) + at
+
+    def candidates(self, counts: np.ndarray, anchors: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sought, need) for the window at each word: which of its words are looked for, and how many must be near.
+
+        The words sought are the 2 * anchors rarest of those that occur; need is 0 where no window starts or too few occur.
+        """
+        count = counts[self.term]
+        sought, need = np.zeros((len(count), self.window), bool), np.zeros(len(count), np.int64)
+        for at, n in self._windows():
+            c = count[at : at + n]
+            least = min(anchors, max(n - 1, 2), n)
+            if np.count_nonzero(c) >= least:
+                order = np.argsort(c, kind="stable")
+                sought[at, order[c[order] > 0][: 2 * anchors]] = True
+                need[at] = least
+        return sought, need
 
 
 def _item_blocks(items: DataFrame, window: int) -> list[Items]:
@@ -178,31 +200,66 @@ def _exact(items: Items, anchors: np.ndarray):
     return run
 
 
-def _near(items: Items, windows: np.ndarray, slack: int):
-    """Index rows -> (doc_id, item_id, window): windows whose anchors all lie near where their rarest puts them."""
+#: So many places of an item are compared at once.
+PLACES = 200_000
+
+
+def _near(items: Items, sought: np.ndarray, need: np.ndarray, slack: int):
+    """Index rows -> (doc_id, item_id, window): windows of which `need` sought words lie near where one of them puts them."""
+    width = items.window
+    used = np.zeros(len(need), bool)  # words sought in any window
+    for d in range(width):
+        used[d:] |= sought[: len(need) - d, d]
+
+    def met(block: Block, number: np.ndarray, i: int):
+        """(position, window) of an item's windows that are met."""
+        s, e = int(items.bound[i]), int(items.bound[i + 1])
+        here = s + np.flatnonzero(used[s:e] & (number[s:e] >= 0))
+        if not len(here):
+            return
+        least = int(need[s:e][need[s:e] > 0].min())
+        which, pos = block.postings(number[here])
+        word = here[which]
+        # Of each word the offset at which the item would begin; few have enough others next to them.
+        order = np.argsort(pos - word)
+        pos, word = pos[order], word[order]
+        offset = pos - word
+        close = np.zeros(len(offset), bool)
+        start = np.flatnonzero(offset[least - 1 :] - offset[: len(offset) - least + 1] <= 2 * slack)
+        for d in range(least):
+            close[start + d] = True
+        pos, word = pos[close], word[close]
+        if not len(pos):
+            return
+        span = len(block.positions) + 2 * slack + 2
+        lists = np.sort(word * span + pos)
+        for at in range(0, len(pos), PLACES):
+            p, w = pos[at : at + PLACES], word[at : at + PLACES]
+            doc = block.doc_of(p)
+            first, last = block.doc_starts[doc], block.doc_starts[doc + 1] - 1
+            near = np.zeros((len(p), 2 * width - 1), bool)  # the words from width - 1 before w to as many behind it
+            for d in range(1 - width, width):
+                lo, hi = (w + d) * span + np.maximum(p + d - slack, first), (w + d) * span + np.minimum(p + d + slack, last)
+                found = lists[np.minimum(np.searchsorted(lists, lo), len(lists) - 1)]
+                near[:, d + width - 1] = (found >= lo) & (found <= hi)
+            for d in range(width):  # w is word d of the window
+                ok = np.flatnonzero(w - d >= s)
+                ok = ok[(need[w[ok] - d] > 0) & sought[w[ok] - d, d]]
+                n = (near[ok, width - 1 - d : 2 * width - 1 - d] & sought[w[ok] - d]).sum(axis=1)
+                ok = ok[n >= need[w[ok] - d]]
+                yield p[ok], w[ok] - d
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 block = Block(r)
                 number = block.numbers(items.terms)[items.term]
-                here = np.flatnonzero((number[windows] >= 0).all(axis=1))
-                which, pos = block.postings(number[windows[here, 0]])
-                window = here[which]
-                doc = block.doc_of(pos)
-                # All lists end to end, each in a range of its own, so that one search serves all.
-                span = len(block.positions) + 2 * slack + 2
-                lists = np.repeat(np.arange(len(block.terms)), np.diff(block.list_starts)) * span + block.positions
-                for k in range(1, windows.shape[1]):
-                    want = pos + windows[window, k] - windows[window, 0]
-                    lo = np.maximum(want - slack, block.doc_starts[doc])
-                    hi = np.minimum(want + slack, block.doc_starts[doc + 1] - 1)
-                    base = number[windows[window, k]] * span
-                    at = np.minimum(np.searchsorted(lists, base + lo), len(lists) - 1)
-                    ok = (lists[at] >= base + lo) & (lists[at] <= base + hi)
-                    window, pos, doc = window[ok], pos[ok], doc[ok]
-                cols = [block.docs[doc], items.ids[items.item[windows[window, 0]]], window]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["doc_id", "item_id", "window"])
+                for i in range(len(items.ids)):
+                    for pos, window in met(block, number, i):
+                        cases = np.unique(np.stack([block.doc_of(pos), window], axis=1), axis=0)
+                        cols = [block.docs[cases[:, 0]], np.full(len(cases), items.ids[i]), cases[:, 1]]
+                        if len(cases):
+                            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["doc_id", "item_id", "window"])
 
     return run
 
@@ -228,20 +285,19 @@ class LeakSearch:
         """
 
         def kind(items: Items):
-            found = [a[0] for a in items.anchors(term_counts(self.index, items.terms))]
+            found = list(items.anchors(term_counts(self.index, items.terms)))
             return _exact(items, np.unique(np.array(found, np.int64)))
 
         return self._all(kind, FOUND)
 
     def near(self, anchors: int = 4, slack: int = 6) -> DataFrame:
-        """(doc_id, item_id, windows): documents with the rarest words of an item's windows near their places.
+        """(doc_id, item_id, windows): documents with enough of the rare words of an item's windows near their places.
 
-        Finds passages with small edits; windows counts the windows of the item that are met in the document.
+        Finds passages with small edits, also where rare words were changed; windows counts the windows of the item that are met in the document.
         """
 
         def kind(items: Items):
-            found = [a for a in items.anchors(term_counts(self.index, items.terms), anchors) if len(a) == anchors]
-            return _near(items, np.array(found, np.int64).reshape(-1, anchors), slack)
+            return _near(items, *items.candidates(term_counts(self.index, items.terms), anchors), slack)
 
         met = self._all(kind, "doc_id long, item_id long, window long").distinct()
         return met.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"))

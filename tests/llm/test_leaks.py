@@ -67,3 +67,22 @@ def test_empty_tables(spark):
     for d, i in ((docs, items), (full_docs, items), (docs, full_items)):
         search = LeakSearch(d, i)
         assert search.exact().count() == 0 and search.near().count() == 0
+
+
+def test_near_finds_passages_without_their_rarest_words(spark):
+    item = "the overloaded pump near the northern gate stopped twice while nobody watched the amber signal lamp"
+    edited = item.replace("twice", "again and again").replace("amber ", "")
+    docs = [(1, "Before. " + edited, 0, 0), (2, "pump signal gate lamp", 0, 0), (3, item, 0, 0), (4, "a blue valve turns, then the crew rests", 0, 0)]
+    items = [(7, "s", item, 0), (8, "s", "blue valve turns", 0), (9, "s", "then the weary crew rests", 0), (10, "s", "valve rests", 0), (11, "s", "crew", 0), (12, "s", "unheard", 0)]
+    for asked in (docs, [d for d in docs if d[0] != 3]):  # without document 3 two words of item 7 occur nowhere
+        search = LeakSearch(spark.createDataFrame(asked, DOCS), spark.createDataFrame(items, ITEMS))
+        for anchors in (3, 4):
+            got = {(r["doc_id"], r["item_id"]) for r in search.near(anchors=anchors).collect()}
+            assert got == {(d[0], 7) for d in asked if d[0] in (1, 3)} | {(4, 8), (4, 9), (4, 10), (4, 11)}
+
+
+def test_near_finds_all_that_is_exact(spark):
+    docs, items = _data(4)
+    search = LeakSearch(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    exact = {(r["doc_id"], r["item_id"]) for r in search.exact().collect()}
+    assert exact and exact <= {(r["doc_id"], r["item_id"]) for r in search.near().collect()}
