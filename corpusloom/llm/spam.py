@@ -37,7 +37,7 @@ from ..scratch import staged
 HEAD, MIN_PAGES, LANGUAGES = 22, 5, 200
 TRIM = 0.4
 LEAST_CHARS, LIST_SHARE = 200, 0.5
-AGREEMENT = 0.35
+AGREEMENT, SWITCH, LANGUAGES_MIXED = 0.35, 1.5, 4
 
 WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\W\d_\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
 ASCII_WORD = re.compile(r"[a-z]+")
@@ -141,6 +141,40 @@ def agreement(count: Counter, n: int, heads: dict[str, dict[str, float]]) -> tup
     return best
 
 
+def _list_part(block: str, size: int, heads: dict[str, dict[str, float]]) -> int:
+    """Characters of a block in stretches of list: all of it if it diverges as a whole, else those of the runs of words
+    whose agreement is so far below AGREEMENT that a change of kind at both ends is more likely than chance (SWITCH)."""
+    words = page_words(block)
+    if not words:
+        return 0
+    count, n = Counter(words), len(words)
+    if agreement(count, n, heads)[0] < AGREEMENT:
+        return size
+    masked = block.lower()
+    for pattern in (TARGET, URL, TAG):
+        masked = pattern.sub(lambda m: "/" * len(m[0]), masked)
+    # A block may be prose of several languages; those it agrees with at all, LANGUAGES_MIXED at most.
+    fits = sorted(((agreement(count, n, {x: h})[0], x) for x, h in heads.items()), reverse=True)[:LANGUAGES_MIXED]
+    spoken = [(heads[x], AGREEMENT * sum(heads[x].values())) for fit, x in fits if fit > 0]
+    places = list((ASCII_WORD if masked.isascii() else WORD).finditer(masked))
+    # The best division into list (state 0) and prose of each language, which gains 1 by a head word and loses by each word.
+    score, back = [-SWITCH] + [0.0] * len(spoken), []
+    for m in places:
+        w = m[0]
+        best = max(score)
+        top, change = score.index(best), best - SWITCH
+        back.append([i if x >= change else top for i, x in enumerate(score)])
+        score = [max(x, change) for x in score]
+        for i, (head, loss) in enumerate(spoken, 1):
+            score[i] += (min(1.0, max(2 * head[w] * n, 2) / max(count[w], 1)) if w in head else 0.0) - loss
+    state, total = score.index(max(score)), 0
+    for i in range(len(places) - 1, -1, -1):
+        if state == 0:
+            total += dark(masked[places[i].start() if i else 0 : places[i + 1].start() if i + 1 < len(places) else len(masked)])
+        state = back[i][state]
+    return min(total, size)
+
+
 def list_chars(text: str, heads: dict[str, dict[str, float]]) -> int:
     """Characters, other than white space, that stand in lists of keywords, phrases, tags, products or links.
 
@@ -158,9 +192,7 @@ def list_chars(text: str, heads: dict[str, dict[str, float]]) -> int:
         if marked >= 0.7 * size:
             total += size
         elif heads:
-            words = page_words(block)
-            if words and agreement(Counter(words), len(words), heads)[0] < AGREEMENT:
-                total += size
+            total += _list_part(block, size, heads)
     return total
 
 

@@ -67,3 +67,16 @@ def test_copies_of_a_list_do_not_become_prose(spark):
         df = spark.createDataFrame([(i, t, "en", "s", 1, 0.5) for i, t in rows], DDL)
         assert not set(words) & set(prose_heads(df)["en"])
         assert {r[0] for r in list_pages(df).collect()} == set(range(1000, 1060))
+
+
+def test_lists_inside_a_block_are_measured(spark):
+    rnd = random.Random(5)
+    good, _ = _pages()
+    keywords = lambda n: ", ".join(f"{rnd.choice(['cheap', 'best', 'free'])} {rnd.choice(NOUNS)}" for _ in range(n))
+    rows = [(i, t) for i, t in good.items() if i < 120]
+    for i in range(10):  # sentences and then keyword lines without a blank line, and the other way round
+        rows += [(500 + i, prose(rnd, 6) + "\n" + keywords(60)), (600 + i, prose(rnd, 12) + "\n" + keywords(30))]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 0.5) for i, t in rows], DDL)
+    assert {r[0] for r in list_pages(df).collect()} == set(range(500, 510))
+    text = prose(rnd, 9) + "\n" + keywords(60)
+    assert abs(list_chars(text, prose_heads(df)) - len("".join(text.split("\n")[1].split()))) < 60
