@@ -15,7 +15,7 @@ from ..operators.embed import HashEmbedder, sparse, with_query_similarity
 from ..operators.ingest import stored_chunks
 from ..operators.search import MAX_QUERY, batch_top_k, bounded_k, citation_json, lexically_within, search_knowledge, top_k
 from ..operators.sizes import spread
-from ..operators.snapshot_diff import SnapshotIndex, latest_deliveries, snapshot_changes, snapshot_records
+from ..operators.snapshot_diff import latest_deliveries, snapshot_changes
 from ..operators.snapshots import chunk_key, parse_series, series_files, shown_dates, snapshot_plan, span_signatures
 from ..operators.store import ChunkStore
 from ..sources.files import EXCLUDED
@@ -297,10 +297,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The changes with the lengths of the old and new values."""
-    changes = SnapshotIndex(spark).apply(snapshot_records(table(spark, sf_dir, "snapshot_chunks")), with_values=True)
+    """The changes with the hashes of the old and new values."""
+    changes = snapshot_changes(table(spark, sf_dir, "snapshot_chunks"), with_values=True)
     return changes.select(
-        "series", "snapshot_date", F.col("key").alias("heading"), "change_kind", F.md5(F.col("old_text").cast("binary")).alias("old_md5"), F.md5(F.col("new_text").cast("binary")).alias("new_md5")
+        "series", "snapshot_date", "heading", "change_kind", F.md5(F.col("old_text").cast("binary")).alias("old_md5"), F.md5(F.col("new_text").cast("binary")).alias("new_md5")
     )
 
 

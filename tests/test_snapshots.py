@@ -138,3 +138,23 @@ def test_index_goes_on_from_what_it_holds(spark, rows, tmp_path):
     ]
     assert rows(index.late.select("snapshot_date", "key")) == [("2026-01-01", "A")]
     assert rows(index.index().select("key", "snapshot_date")) == [("A", "2026-01-02"), ("C", "2026-01-02")]
+
+
+def test_deliveries_one_by_one_give_what_all_at_once_give(spark, rows, tmp_path):
+    """Also where a series is spread over several buckets; after the first delivery all changes come from the stored index."""
+    days = {f"2026-01-0{d}": {f"k{i}": str(i * d % 3) for i in range(12) if (i + d) % 4} for d in range(1, 5)}
+    days["2026-01-03"] = {"k1": "z"}
+    snapshots = {"a": days, "b": {"2026-01-02": {"A": "1"}}}
+    at_once = SnapshotIndex(spark, f"file://{tmp_path}/once", buckets=6, bucket_records=3)
+    assert {tuple(r) for r in at_once.apply(snapshot_records(_table(spark, snapshots))).collect()} == plain_changes(snapshots)
+    got = set()
+    for d in sorted(days):
+        index = SnapshotIndex(spark, f"file://{tmp_path}/steps", buckets=6, bucket_records=3)
+        before = dict(index._state["buckets"])
+        one = {s: {d: x[d]} for s, x in snapshots.items() if d in x}
+        got |= {tuple(r) for r in index.apply(snapshot_records(_table(spark, one))).collect()}
+        assert index.changes.where("not stored and change_kind <> 'added'").isEmpty()
+        touched = {b for b, p in index._state["buckets"].items() if before.get(b) != p}
+        assert d != "2026-01-01" or touched  # later deliveries of one series leave other buckets where they are
+    assert got == plain_changes(snapshots)
+    assert rows(at_once.index().select("series", "key", "hash")) == rows(index.index().select("series", "key", "hash"))
