@@ -1,7 +1,8 @@
 """Shared scratch storage for cutting lineage.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``; it must be visible to every executor. Only where
-the setting is absent (tests, a laptop) a private temporary folder is made.
+the setting is absent and Spark runs in this process alone (tests, a laptop) a private temporary folder is made; on a
+cluster without the setting there is no folder that all executors see, and that is an error.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ _used: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of our own only where the session names none."""
+    """The cluster's shared folder; in local mode a temporary one of our own where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         path = tempfile.mkdtemp(prefix="corpusloom-")
@@ -52,7 +55,7 @@ def staged(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def discard(spark: SparkSession) -> None:
