@@ -4,7 +4,8 @@ import hashlib
 import random
 import re
 
-from corpusloom.llm.history import first_come, refused_files
+from corpusloom.llm import history
+from corpusloom.llm.history import HistoryIndex, first_come, refused_files
 
 FILES = "file_no long, rel string, content binary, batch_no int, received_at timestamp_ntz, n int, token string"
 MANIFEST = "file_no long, rel string, sha256 string, chunks int, kept array<int>, spanh string, text_key long"
@@ -70,6 +71,22 @@ def test_refusals_equal_the_rules_taken_in_order(spark):
     manifest = [(500, "m", f" {only.upper()} \n", 1, None, None, 1), (501, "m", None, 1, None, None, 1), (files[5][0], "m", "00", 1, None, None, 1), (500, "m", only, 1, None, None, 1)]
     got = refused_files(spark.createDataFrame(files, FILES), spark.createDataFrame(manifest, MANIFEST)).collect()
     assert {tuple(r) for r in got} == brute(files, manifest) and len(got) == len({tuple(r) for r in got})
+    history.HOT = 3  # the ways for large batches: tokens dealt out, edges settled in rounds
+    try:
+        large = refused_files(spark.createDataFrame(files, FILES), spark.createDataFrame(manifest, MANIFEST), small=0).collect()
+    finally:
+        history.HOT = 10_000
+    assert {tuple(r) for r in large} == brute(files, manifest)
+
+
+def test_compaction_changes_nothing(spark, rows):
+    texts = spark.createDataFrame([(f"sha{i}", i, 2, [i, 7], [i, 7]) for i in range(6)], "sha string, node long, n int, shingles array<long>, prefix array<long>")
+    index = HistoryIndex(spark)
+    for i in range(6):
+        index.append(texts.where(f"node = {i}"))
+    before = {k: rows(index.table(k)) for k in ("postings", "sets", "holders")}
+    index.compact()
+    assert before == {k: rows(HistoryIndex(spark, index.path).table(k)) for k in before} and len(before["postings"]) == 12
 
 
 def test_empty_tables(spark):
