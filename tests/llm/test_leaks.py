@@ -86,3 +86,27 @@ def test_near_finds_all_that_is_exact(spark):
     search = LeakSearch(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
     exact = {(r["doc_id"], r["item_id"]) for r in search.exact().collect()}
     assert exact and exact <= {(r["doc_id"], r["item_id"]) for r in search.near().collect()}
+
+
+def test_near_recall_and_precision_on_planted_edits(spark):
+    """Half of the documents hold a passage of an item with up to three words changed, dropped or put in."""
+    rnd = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    word = lambda: vocabulary[min(int(rnd.paretovariate(0.3)), 2999)]
+    items = [(i, "s", " ".join(word() for _ in range(rnd.randrange(13, 50))), 0) for i in range(60)]
+    docs, planted = [], set()
+    for d in range(400):
+        words = [word() for _ in range(120)]
+        if d % 2:
+            i = rnd.randrange(60)
+            q = items[i][2].split()
+            at = rnd.randrange(len(q) - 12)
+            q = q[at : at + 20]
+            for _ in range(rnd.randrange(4)):
+                k = rnd.randrange(len(q))
+                q[k : k + 1] = rnd.choice([[word()], [], [q[k], word()]])
+            words[40:40] = q
+            planted.add((d, i))
+        docs.append((d, " ".join(words), 0, 0))
+    got = {(r["doc_id"], r["item_id"]) for r in LeakSearch(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).near().collect()}
+    assert len(got & planted) >= 0.95 * len(planted) and len(got & planted) >= 0.8 * len(got), (len(got & planted) / len(planted), len(got & planted) / len(got))
