@@ -6,9 +6,10 @@ that share one seed occurrence form its context.
 
 Matches. Occurrences of one seed are classed by context. Members of a class are joined to the class's first record (and
 that one to another), a number of matches linear in the occurrences; contexts that stand in one record only are joined
-to the other contexts of the seed, however many there are. spans() needs no pairs: for a seed with more than `fan`
-contexts (a boilerplate line shorter than `length`, in ever other surroundings) windows are hashed and counted instead,
-which is exact and linear. members() lists the records of each seed and context, so that a link that matches do not name
+to the other contexts of the seed, however many there are. spans() needs no pairs of contexts: at a seed with more than
+`fan` of them (a boilerplate line shorter than `length`, in ever other surroundings) the windows of `length` characters
+themselves are the classes, each window matched with the first record that has it, which is exact and linear. A class,
+a seed or a first record with more than HOT rows to join is dealt out over several tasks. members() lists the records of each seed and context, so that a link that matches do not name
 (two records joined only to the first of their context) can be read from it.
 
 Chains. The matches of two records are chained in order of position: a Fenwick tree over the second record's positions
@@ -34,8 +35,11 @@ from ..operators.records import record_rows
 from ..operators.sizes import only
 from ..scratch import staged
 from . import kernels as K
+from .skew import dealt_join
 
 LENGTH, SEED, FAN, GAP = 200, 100, 64, 64
+#: Of a join key with more rows than this the rows are dealt out.
+HOT = 20_000
 SEGMENT = 1 << 22
 
 
@@ -276,7 +280,7 @@ class SharedSpans:
         shared = found.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi")
         self.found = staged(only(found, staged(shared.select("h"), "shared-seeds"), "h"), "shared-occurrences")
         classes = self.found.groupBy("h", "context").agg(
-            F.min(F.struct("rid", "pos")).alias("a"), F.max(F.struct("rid", "pos")).alias("b")
+            F.min(F.struct("rid", "pos")).alias("a"), F.max(F.struct("rid", "pos")).alias("b"), F.count("*").alias("n")
         )
         size = classes.groupBy("h").agg(F.count("*").alias("contexts"))
         self.classes = staged(
@@ -285,15 +289,16 @@ class SharedSpans:
 
     def _matches(self, fan: int | None) -> DataFrame:
         """Matched seed occurrences, (rid, pos) with (other, opos); seeds with more than fan contexts are not crossed."""
-        mine = self.found.join(self.classes, ["h", "context"])
+        sizes = self.classes.select("h", "context", "n")
+        mine = dealt_join(self.found, self.classes.drop("n"), ["h", "context"], sizes, "rid", HOT)
         star = mine.where("not alone").select(
             "rid", "pos", F.when(F.col("rid") != F.col("a.rid"), F.col("a")).otherwise(F.col("b")).alias("o")
         )
         other = self.classes.select("h", F.col("context").alias("context2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        crossed = F.col("alone") if fan is None else F.col("alone") & (F.col("contexts") <= fan)
+        per_seed = self.classes.where(crossed).groupBy("h").agg((F.sum("n") * F.max("contexts")).alias("n"))
         cross = (
-            mine.where(F.col("alone") if fan is None else F.col("alone") & (F.col("contexts") <= fan))
-            .select("h", "context", "rid", "pos")
-            .join(other, "h")
+            dealt_join(mine.where(crossed).select("h", "context", "rid", "pos"), other, ["h"], per_seed, "rid", HOT * 50)
             .where("context <> context2 and (a2.rid <> rid or b2.rid <> rid)")
             .select("rid", "pos", F.when(F.col("rid") != F.col("a2.rid"), F.col("a2")).otherwise(F.col("b2")).alias("o"))
         )
@@ -305,7 +310,7 @@ class SharedSpans:
         Pairs are those the matches name: each record with the first record of each of its contexts, and the records
         that hold different contexts of a seed with each other.
         """
-        return self._passages(None)
+        return self._passages(self._matches(None))
 
     def members(self) -> DataFrame:
         """(id, seed, context, pos, first, chars): the records of each shared seed, one row for each occurrence.
@@ -318,12 +323,11 @@ class SharedSpans:
         seen = self.found.select("rid", F.col("h").alias("seed"), "context", F.col("pos").cast("long").alias("pos"), F.col("first").cast("long").alias("first"), chars)
         return seen.distinct().join(ids, "rid").select("id", "seed", "context", "pos", "first", "chars")
 
-    def _passages(self, fan: int | None) -> DataFrame:
-        m = self._matches(fan)
+    def _passages(self, matches: DataFrame) -> DataFrame:
         swap = F.col("rid") > F.col("other")
         pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
         pairs = (
-            m.select(
+            matches.select(
                 pick("rid", "other").alias("a"),
                 pick("other", "rid").alias("b"),
                 F.struct(pick("pos", "opos").alias("pa"), pick("opos", "pos").alias("pb")).alias("m"),
@@ -334,22 +338,25 @@ class SharedSpans:
         pairs = staged(pairs, "record-pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
         texts = self._texts(staged(ids, "paired-records"))
-        both = pairs.join(texts.select(F.col("rid").alias("a"), F.col("id").alias("id_a"), F.col("text").alias("text_a")), "a").join(
-            texts.select(F.col("rid").alias("b"), F.col("id").alias("id_b"), F.col("text").alias("text_b")), "b"
-        )
+        # The first record of a class is the lesser one: its text is sent once to each part of its partners.
+        both = pairs.join(texts.select(F.col("rid").alias("b"), F.col("id").alias("id_b"), F.col("text").alias("text_b")), "b")
+        first = texts.select(F.col("rid").alias("a"), F.col("id").alias("id_a"), F.col("text").alias("text_a"))
+        both = dealt_join(both, first, ["a"], pairs.groupBy("a").agg(F.count("*").alias("n")), "b", HOT)
         both = both.select("id_a", "text_a", "id_b", "text_b", "matches")
         return both.mapInArrow(_aligned(self.k, self.gap), PASSAGE_DDL)
 
     def _texts(self, rids: DataFrame) -> DataFrame:
         return only(self.rows, rids, "rid").select("rid", "id", "text").dropDuplicates(["id"])
 
-    def _hot_windows(self) -> DataFrame | None:
-        """Spans (id, s, e) at seeds with more than fan contexts, from hashes of their windows; None if there are none."""
+    def _window_matches(self) -> DataFrame | None:
+        """Matches at seeds with more than fan contexts: each window with the first record that has it (and that one with
+        another), of adjacent windows on one diagonal the first; None if there are no such seeds."""
         hot = self.classes.where(F.col("alone") & (F.col("contexts") > self.fan)).select("h", "context")
         if hot.isEmpty():
             return None
-        all_of_hot = self.classes.where(F.col("contexts") > self.fan).select("h", "context", "alone")
-        at = self.found.join(all_of_hot, ["h", "context"]).groupBy("rid").agg(F.collect_set(F.struct("first", "windows")).alias("at"))
+        all_of_hot = self.classes.where(F.col("contexts") > self.fan).select("h", "context", "n")
+        at = dealt_join(self.found, all_of_hot.drop("n"), ["h", "context"], all_of_hot, "rid", HOT)
+        at = at.groupBy("rid").agg(F.collect_set(F.struct("first", "windows")).alias("at"))
         at = staged(at, "hot-contexts")
         texts = self._texts(at.select("rid"))
         length = self.length
@@ -363,18 +370,24 @@ class SharedSpans:
                     s = s[s + length <= len(codes)]
                     w = K.scramble(K.stretch_hash(h, s, s + length))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(w.view(np.int64)), pa.array(np.full(len(s), r["rid"], np.int64)), pa.array([r["id"]] * len(s), pa.string()), pa.array(s)],
-                        names=["w", "rid", "id", "s"],
+                        [pa.array(w.view(np.int64)), pa.array(np.full(len(s), r["rid"], np.int64)), pa.array(s.astype(np.int32))], names=["w", "rid", "pos"]
                     )
 
-        windows = texts.join(at, "rid").select("rid", "id", "text", "at").mapInArrow(run, "w long, rid long, id string, s long")
+        windows = texts.join(at, "rid").select("rid", "text", "at").mapInArrow(run, "w long, rid long, pos int")
         windows = staged(windows, "hot-windows")
-        twice = windows.groupBy("w").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("w")
-        return windows.join(twice, "w", "left_semi").select("id", "s", (F.col("s") + length).alias("e"))
+        first = F.min(F.struct("rid", "pos")).alias("a"), F.max(F.struct("rid", "pos")).alias("b")
+        classes = staged(windows.groupBy("w").agg(*first, F.count("*").alias("n")).where("a.rid <> b.rid"), "window-classes")
+        met = dealt_join(windows, classes.drop("n"), ["w"], classes.select("w", "n"), "rid", HOT)
+        met = met.select("rid", "pos", F.when(F.col("rid") != F.col("a.rid"), F.col("a")).otherwise(F.col("b")).alias("o"))
+        met = met.select("rid", "pos", F.col("o.rid").alias("other"), F.col("o.pos").alias("opos")).distinct()
+        before = F.lag("pos").over(Window.partitionBy("rid", "other", F.col("pos") - F.col("opos")).orderBy("pos"))
+        return met.withColumn("before", before).where("before is null or before < pos - 1").drop("before")
 
     def spans(self) -> DataFrame:
         """(id, span_start, span_end): the maximal runs of characters shared with another record."""
-        equal = self._passages(self.fan).select("id_a", "id_b", F.explode("equal").alias("x")).where(F.col("x.n") >= self.length)
+        matches, windows = self._matches(self.fan), self._window_matches()
+        matches = matches if windows is None else matches.unionByName(windows)
+        equal = self._passages(matches).select("id_a", "id_b", F.explode("equal").alias("x")).where(F.col("x.n") >= self.length)
         both = equal.select(
             F.explode(
                 F.array(
@@ -383,9 +396,6 @@ class SharedSpans:
                 )
             ).alias("y")
         ).select("y.*")
-        hot = self._hot_windows()
-        if hot is not None:
-            both = both.unionByName(hot)
         both = both.distinct()
         w = Window.partitionBy("id").orderBy("s", "e")
         reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
