@@ -5,8 +5,9 @@ a prefix of its rarest shingles; where the prefix would meet many postings, it i
 shingles (l) are required. Two sets are verified if they share at least the smaller l of the two, and as many as sets of
 their sizes must share in prefixes of these lengths. Pairs that differ too
 much in size, or in a parity sketch of the whole sets (a lower bound of their difference), are left out where they meet.
-Postings travel in packed blocks to the reducer of their shingle; a shingle that stands in very many prefixes is split over several
-reducers by blocks of sets, each pair of blocks in one.
+Postings travel in packed blocks to the bucket of their shingle, one bucket a task. A shingle in more than SPLIT prefixes
+is split by blocks of sets, each pair of blocks in one bucket: where the table of common shingles knows it, before it is
+sent; any other is counted in its bucket, whole, and its postings are sent on to a second round in the same blocks.
 
 Defined results: the words of a record are those of heading, a space and text; null headings and texts count as ''.
 Rows of one id are one record (see record_rows). Records of fewer than 20 words take no part. Records that are copies of
@@ -27,7 +28,7 @@ from ..operators.sizes import only
 from ..scratch import staged
 from . import kernels as K
 from .components import components
-from .prefixes import Common, Likeness, order, prefix_length, set_key, survey
+from .prefixes import COMMON, Common, Likeness, order, prefix_length, set_key, survey
 
 KIND = Likeness(words=3, least=Fraction(3, 5), min_words=20)
 #: A shingle in more prefixes than this is split over several reducers.
@@ -44,35 +45,39 @@ def parity(a: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((a & K.U(255)).astype(np.int64), minlength=256) & 1).astype(bool)).view(np.uint64)
 
 
-def _postings(kind: Likeness, common: Common, buckets: int):
+def _split(p: np.ndarray, counts: np.ndarray, most: int):
+    """Postings -> those of shingles that few have, and, array by array, the others under the pairs of their blocks."""
+    parts = -(-counts // most)
+    hot = parts > 1
+    yield p if not hot.any() else p[~hot]
+    for s in np.unique(parts[hot]):
+        mine = p[parts == s]
+        block = (mine["set"] % K.U(s)).astype(np.int64)
+        for other in range(int(s)):
+            q = mine.copy()
+            lo, hi = np.minimum(block, other), np.maximum(block, other)
+            q["token"] = K.scramble(q["token"] ^ (lo * s + hi + 1).astype(K.U))
+            q["side"] = np.where(lo == hi, WHOLE, block > other)
+            yield q
+
+
+def _blobs(p: np.ndarray, buckets: int):
+    """(bucket, blob) of packed postings."""
+    b = ((p["token"] >> K.U(32)) % K.U(buckets)).astype(np.int64)
+    p, b = p[np.argsort(b, kind="stable")], np.sort(b)
+    at = np.searchsorted(b, np.arange(buckets + 1))
+    for i in np.flatnonzero(np.diff(at)):
+        for s in range(at[i], at[i + 1], 50_000):
+            yield int(i), p[s : min(s + 50_000, at[i + 1])].tobytes()
+
+
+def _postings(kind: Likeness, common: Common, buckets: int, most: int):
     """words -> (bucket, blob) of packed postings."""
 
-    def split(p: np.ndarray) -> np.ndarray:
-        parts = -(-common.of(p["token"]) // SPLIT)
-        hot = parts > 1
-        if not hot.any():
-            return p
-        out = [p[~hot]]
-        for s in np.unique(parts[hot]):
-            mine = p[parts == s]
-            block = (mine["set"] % K.U(s)).astype(np.int64)
-            for other in range(int(s)):
-                q = mine.copy()
-                lo, hi = np.minimum(block, other), np.maximum(block, other)
-                q["token"] = K.scramble(q["token"] ^ (lo * s + hi + 1).astype(K.U))
-                q["side"] = np.where(lo == hi, WHOLE, block > other)
-                out.append(q)
-        return np.concatenate(out)
-
     def packed(held: list[np.ndarray]):
-        p = split(np.concatenate(held))
-        b = ((p["token"] >> K.U(32)) % K.U(buckets)).astype(np.int64)
-        p, b = p[np.argsort(b, kind="stable")], np.sort(b)
-        at = np.searchsorted(b, np.arange(buckets + 1))
-        for i in range(buckets):
-            for s in range(at[i], at[i + 1], 50_000):
-                blob = p[s : min(s + 50_000, at[i + 1])].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+        p = np.concatenate(held)
+        for i, blob in _blobs(np.concatenate(list(_split(p, common.of(p["token"]), most))), buckets):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
     def run(batches):
         held, size, seen = [], 0, set()
@@ -112,9 +117,16 @@ def _summed(a, b, n_a, n_b, need, count):
     return a[first], b[first], n_a[first], n_b[first], need[first], np.add.reduceat(count[o], new)
 
 
-def _met(kind: Likeness):
-    """Packed postings of whole buckets -> (a, b, n_a, n_b, need, met): pairs of sets that share prefix shingles."""
+MET = "a long, b long, n_a int, n_b int, need int, met long, bucket int, blob binary"
+
+
+def _met(kind: Likeness, buckets: int, most: int | None):
+    """Packed postings of whole buckets -> (a, b, n_a, n_b, need, met): pairs of sets that share prefix shingles.
+
+    The postings of a shingle that more than `most` of them have come out again instead, in blocks, as (bucket, blob).
+    """
     p_, q_ = kind.least.numerator, kind.least.denominator
+    names = [x.split()[0] for x in MET.split(", ")]
 
     def out(x):
         a, b, n_a, n_b, need, met = x
@@ -126,10 +138,17 @@ def _met(kind: Likeness):
                 pa.array(n_b.astype(np.int32)),
                 pa.array(need.astype(np.int32)),
                 pa.array(met.astype(np.int64)),
+                pa.nulls(len(a), pa.int32()),
+                pa.nulls(len(a), pa.binary()),
             ],
-            names=["a", "b", "n_a", "n_b", "need", "met"],
+            names=names,
         )
 
+    def sent_on(p):
+        for i, blob in _blobs(p, buckets):
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, k) for k in kinds], pa.array([i], pa.int32()), pa.array([blob], pa.binary())], names=names)
+
     def run(batches):
         blobs = [x for batch in batches for x in batch.column("blob").to_pylist()]
         if not blobs:
@@ -139,6 +158,13 @@ def _met(kind: Likeness):
         p = p[np.lexsort((p["set"], p["n"], p["token"]))]
         same = (p["token"][1:] == p["token"][:-1]) & (p["set"][1:] == p["set"][:-1]) & (p["side"][1:] == p["side"][:-1])
         p = p[np.concatenate(([True], ~same))]
+        if most is not None:
+            edge = np.flatnonzero(np.concatenate(([True], p["token"][1:] != p["token"][:-1], [True])))
+            counts = np.repeat(np.diff(edge), np.diff(edge))
+            few, *hot = _split(p, np.where(p["side"] == WHOLE, counts, 1), most)
+            for q in hot:
+                yield from sent_on(q)
+            p = few
         token, n, l, bits = p["token"].copy(), p["n"].astype(np.int64), p["l"].astype(np.int64), p["bits"].copy()
         i, d, held, size = np.arange(len(p)), 1, [], 0
         while len(i):
@@ -173,20 +199,24 @@ def _met(kind: Likeness):
 class NearDuplicates:
     """The operator: pairs of alike records and the groups they form."""
 
-    def __init__(self, chunks: DataFrame, kind: Likeness = KIND, postings_per_bucket: int = 2_000_000):
+    def __init__(self, chunks: DataFrame, kind: Likeness = KIND, postings_per_bucket: int = 2_000_000, common: int = COMMON):
         self.kind = kind
         rows = record_rows(chunks)
         self.rows = rows.select("id", "rid", F.concat_ws(" ", "heading", "text").alias("words"))
-        found, self.common, total = survey(self.rows, kind)
+        found, self.common, total = survey(self.rows, kind, common)
         self.members = found.withColumnRenamed("size", "n").distinct()
         self.buckets = max(8, total // postings_per_bucket)
 
     def candidates(self) -> DataFrame:
         """Pairs of sets (a < b) that share enough prefix shingles."""
-        blobs = self.rows.select("words").mapInArrow(_postings(self.kind, self.common, self.buckets), "bucket int, blob binary")
-        met = blobs.repartition(self.buckets, "bucket").select("blob").mapInArrow(
-            _met(self.kind), "a long, b long, n_a int, n_b int, need int, met long"
-        )
+        first = _postings(self.kind, self.common, self.buckets, SPLIT)
+        blobs = self.rows.select("words").mapInArrow(first, "bucket int, blob binary")
+        placed = lambda df: df.repartitionById(self.buckets, "bucket").select("blob")
+        met = staged(placed(blobs).mapInArrow(_met(self.kind, self.buckets, SPLIT), MET), "met-sets")
+        again = met.where("blob is not null")
+        met = met.where("blob is null")
+        if not again.isEmpty():
+            met = met.unionByName(placed(again).mapInArrow(_met(self.kind, self.buckets, None), MET))
         return met.groupBy("a", "b", "n_a", "n_b", "need").agg(F.sum("met").alias("met")).where("met >= need")
 
     def links(self) -> DataFrame:
@@ -239,23 +269,25 @@ class NearDuplicates:
         return x.join(y, ["set", "i", "j"]).where("x < y").select("x", "y")
 
     def groups(self) -> DataFrame:
-        """Each record's group (its least set key), its exact copies and the records linked to it.
+        """Each record's group (its least id), its exact copies and the records linked to it.
 
         (id, group_id, copies, links): records that are alike directly or through others are one group. Records without
         partner form groups of their own.
         """
         links = staged(self.links().select("a", "b"), "links")
         label = components(links)
+        named = self.members.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        group = named.groupBy("component").agg(F.min("id").alias("group_id"))
         size = self.members.groupBy("set").agg(F.count("*").alias("size"))
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         degree = ends.join(size.withColumnRenamed("set", "b"), "b").groupBy("a").agg(F.sum("size").alias("links"))
         return (
-            self.members.join(size, "set")
-            .join(label.withColumnRenamed("node", "set"), "set", "left")
+            named.join(size, "set")
+            .join(group, "component")
             .join(degree.withColumnRenamed("a", "set"), "set", "left")
             .select(
                 "id",
-                F.coalesce("component", "set").alias("group_id"),
+                "group_id",
                 (F.col("size") - 1).alias("copies"),
                 (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"),
             )

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..scratch import staged
 from . import kernels as K
 
-#: The table of common shingles holds at most so many (1 MB); others count as rare.
+#: The table of common shingles holds at most so many (1 MB); others count as rare, which bears on cost alone.
 COMMON = 65_536
 FLUSH = 4_000_000
 
@@ -115,7 +115,7 @@ def _survey(kind: Likeness):
     return run
 
 
-def survey(texts: DataFrame, kind: Likeness) -> tuple[DataFrame, Common, int]:
+def survey(texts: DataFrame, kind: Likeness, most: int = COMMON) -> tuple[DataFrame, Common, int]:
     """A table (id string, words string) -> the set of each text, the most common shingles, the number of shingles.
 
     The first is (id, set, size) with the set's 64-bit key, for the texts that take part. Every text is counted. Counts
@@ -124,7 +124,7 @@ def survey(texts: DataFrame, kind: Likeness) -> tuple[DataFrame, Common, int]:
     """
     found = staged(texts.select("id", "words").mapInArrow(_survey(kind), SURVEY), "survey")
     n = found.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = n.orderBy(F.col("token") != 0, F.desc("n"), "token").limit(COMMON + 1).toArrow()  # bounded by COMMON
+    rows = n.orderBy(F.col("token") != 0, F.desc("n"), "token").limit(most + 1).toArrow()  # bounded by COMMON
     tokens, counts = rows.column("token").to_numpy().view(K.U), rows.column("n").to_numpy()
     is_total = tokens == 0
     return found.where("set is not null").select("id", "set", "size"), Common(tokens[~is_total], counts[~is_total]), int(counts[is_total].sum())

@@ -48,6 +48,14 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == brute(records)
 
 
+def test_shingles_that_no_table_knows_are_split_where_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SPLIT", 3)
+    records = _family(5)
+    df = spark.createDataFrame([(i, None, t, None, 5, "clash") for i, t in records.items()], DDL)
+    got = [tuple(r) for r in NearDuplicates(df, common=0).pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(records)
+
+
 def test_groups_and_dirty_rows(spark, rows):
     import datetime as dt
 
