@@ -84,7 +84,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suspects(page_curves(table(spark, sf_dir, "documents"))).drop("s", "r", "a")
+    return suspects(page_curves(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:

@@ -80,3 +80,33 @@ def test_lists_inside_a_block_are_measured(spark):
     assert {r[0] for r in list_pages(df).collect()} == set(range(500, 510))
     text = prose(rnd, 9) + "\n" + keywords(60)
     assert abs(list_chars(text, prose_heads(df)) - len("".join(text.split("\n")[1].split()))) < 60
+
+
+def test_the_partitions_do_not_matter_and_links_may_be_long(spark):
+    good, bad = _pages()
+    bad[308] = "\n".join(f"* [{' '.join(NOUNS)} {i}](https://shop.example/{'x' * 3000}{i})" for i in range(9))
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 0.5) for i, t in (good | bad).items()], DDL)
+    found = [sorted(r[0] for r in list_pages(df.repartition(n)).collect()) for n in (2, 11)]
+    assert found[0] == found[1] == sorted(bad)
+    heads = [prose_heads(df.repartition(n)) for n in (2, 11)]
+    assert {w: round(x, 9) for w, x in heads[0]["en"].items()} == {w: round(x, 9) for w, x in heads[1]["en"].items()}
+
+
+def test_curves_are_fitted_over_all_ranks(spark):
+    import numpy as np
+
+    rnd = random.Random(2)
+    text = " ".join(rnd.choice(NOUNS[: int(rnd.paretovariate(0.8)) % 40 + 1]) for _ in range(700))
+    (r,) = page_curves(spark.createDataFrame([(1, text, "en", "s", 1, 0.5)] * 2, DDL)).select("slope", "residual").distinct().collect()
+    n = sorted((text.split().count(w) for w in set(text.split())), reverse=True)
+    x, y = np.log(np.arange(1, len(n) + 1)), np.log(n)
+    slope, level = np.polyfit(x, y, 1)
+    assert abs(r["slope"] - slope) < 1e-6 and abs(r["residual"] - np.sqrt(np.mean((y - level - slope * x) ** 2))) < 1e-6
+
+
+def test_pages_of_an_unknown_label_are_measured_if_they_speak_a_known_language(spark):
+    good, bad = _pages()
+    rows = [(i, t, "en") for i, t in good.items() if i < 120]
+    rows += [(500, "\n\n".join([prose(random.Random(1), 3), bad[300]]), "xx"), (501, "kivi talo meri puu lumi tie " * 30, "fi"), (502, bad[302], "fi")]
+    df = spark.createDataFrame([(i, t, lang, "s", 1, 0.5) for i, t, lang in rows], DDL)
+    assert {r[0] for r in list_pages(df).collect()} == {500, 502}
