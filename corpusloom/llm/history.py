@@ -2,8 +2,8 @@
 
 The index holds, for each distinct accepted text, the rare-shingle prefix as postings (token, node, set size) in folders
 by token, its shingle set, and the files that have it; a text's node is the number of its first file. A batch is probed
-with its own prefixes: only the folders of its tokens are read, candidates are filtered by length, and the few that are
-left verified on their sets. What is accepted is appended; nothing that is stored is written again but by compact(). The
+with its own prefixes: only the folders of its tokens are read, candidates are filtered by length and by how many prefix
+shingles they must share, and the few that are left verified on their sets. What is accepted is appended; nothing that is stored is written again but by compact(). The
 order of shingles is frozen when the index is made (by how common they are in the first history), so old postings stay
 valid; later shingles count as rare.
 
@@ -210,8 +210,11 @@ class HistoryIndex:
             dealt = own.join(hot, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
             other = other.join(hot, "token", "left").withColumn("part", F.pmod(F.xxhash64("other"), F.coalesce("parts", F.lit(1)))).drop("parts")
             met = other.join(dealt, ["token", "part"])
+        # Of the set whose prefix ends first, none of the prefix is in the other's rest: overlap <= met + own rest.
+        least = F.ceil((F.col("n") + F.col("m")) * F.lit(p) / F.lit(p + q)) - F.ceil(F.greatest("n", "m") * F.lit(p) / F.lit(q)) + 1
         counted = Observation()
-        met = met.where(fits).select("node", "other", "held").distinct().observe(counted, F.count("*").alias("n"))
+        met = met.where(fits).groupBy("node", "other", "held", "n", "m").agg(F.count("*").alias("met")).where(F.col("met") >= least)
+        met = met.select("node", "other", "held").observe(counted, F.count("*").alias("n"))
         met = staged(met, "candidates")
         n = counted.get["n"]
         few = F.broadcast if n <= self.small else lambda df: df
