@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.buckets import blake2b_bucket, sha2_bucket
+from ..functions.buckets import blake2b_bucket, sha2_bucket, sha2_bucket_of
 from ..functions.text import ascii_tokens
 
 # Fixed value: the instruction that this model family expects before queries, not before documents.
@@ -34,14 +34,18 @@ class Embedder:
 
     def embed(self, df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
         """df with the vectors of its text column, in Arrow batches; the model is made once in each worker."""
-        make, kind = self.vectors, pa.list_(pa.float32())
+        make, kind = getattr(self, "matrix", self.vectors), pa.list_(pa.float32())
         if out in df.columns:
             raise ValueError(f"there is a column {out!r} already")
         schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
         def run(batches):
             for b in batches:
-                yield b.append_column(out, pa.array(make(b.column(text).to_pylist()), kind))
+                made = make(b.column(text).to_pylist())
+                if isinstance(made, np.ndarray):
+                    at = np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]
+                    made = pa.ListArray.from_arrays(pa.array(at), pa.array(made.ravel(), pa.float32()))
+                yield b.append_column(out, made if isinstance(made, pa.Array) else pa.array(made, kind))
 
         return df.mapInArrow(run, schema)
 
@@ -51,21 +55,32 @@ class Embedder:
 
 @dataclass
 class HashEmbedder(Embedder):
-    """Unit-length counts of hashed [a-z0-9]+ tokens: deterministic and offline. Texts without tokens give zero."""
+    """Unit-length counts of hashed [a-z0-9]+ tokens: deterministic and offline. Texts without tokens give zero.
+
+    bucket is blake2b, or sha2 for the buckets that built-in functions give as well; the name says which.
+    """
 
     dim: int = 256
     name: str = "hash"
+    bucket: str = "blake2b"
 
-    def vectors(self, texts: list[str | None]) -> list[list[float]]:
-        out = []
+    def matrix(self, texts: list[str | None]) -> np.ndarray:
+        """The vectors as rows. Each distinct token of a batch is hashed once."""
+        number: dict[str, int] = {}
+        tokens, sizes = [], []
         for t in texts:
-            counts = Counter(blake2b_bucket(w, self.dim) for w in _TOKEN.findall((t or "").lower()))
-            length = math.sqrt(sum(n * n for n in counts.values()))
-            v = [0.0] * self.dim
-            for b, n in counts.items():
-                v[b] = n / length
-            out.append(v)
-        return out
+            mine = _TOKEN.findall((t or "").lower())
+            tokens += [number.setdefault(w, len(number)) for w in mine]
+            sizes.append(len(mine))
+        bucket = blake2b_bucket if self.bucket == "blake2b" else sha2_bucket_of
+        buckets = np.fromiter((bucket(w, self.dim) for w in number), np.int64, len(number))
+        at = np.repeat(np.arange(len(texts)), sizes) * self.dim + buckets[np.array(tokens, np.int64)]
+        counts = np.bincount(at, minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(np.float64)
+        length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        return counts / np.where(length, length, 1.0)
+
+    def vectors(self, texts: list[str | None]) -> list[list[float]]:
+        return self.matrix(texts).tolist()
 
 
 class _Neural(Embedder):
@@ -87,6 +102,7 @@ class _Neural(Embedder):
 
 _registry: dict[str, Callable[[], Embedder]] = {
     "hash": HashEmbedder,
+    "hash-sha2": lambda: HashEmbedder(name="hash-sha2", bucket="sha2"),
     "default": lambda: _Neural("default", 384, ""),
     "bge": lambda: _Neural("bge", 1024, BGE_PREFIX),
 }
@@ -144,7 +160,7 @@ def with_query_similarity(df: DataFrame, query: str, text: str = "text", dim: in
 
     The buckets are a column of their own, so that each token is hashed once for both the product and the length.
     """
-    want = Counter(int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % dim for t in _TOKEN.findall(query.lower()))
+    want = Counter(sha2_bucket_of(t, dim) for t in _TOKEN.findall(query.lower()))
     if not want:
         return df.withColumn("similarity", F.lit(0.0))
     length = math.sqrt(sum(n * n for n in want.values()))

@@ -7,7 +7,6 @@ and all of it committed with the new manifest in one step.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, decode_utf8, is_blank
 from ..scratch import staged
-from ..sources.files import EXCLUDED, EXTENSIONS, corpus_files
+from ..sources.files import EXCLUDED, EXTENSIONS, corpus_files, is_folder
 from .chunking import MAX_CHARS, OVERLAP, chunk
 from .embed import Embedder
 from .snapshots import chunk_key, series_files, shown_dates, snapshot_plan, span_signatures
@@ -78,7 +77,7 @@ def ingest(
     keep_unreadable keeps the chunks of files that cannot be decoded. Without a manifest to trust (incremental off,
     another identity, an empty store, scratch storage) the whole table is made anew.
     """
-    if not os.path.isdir(root):
+    if not is_folder(root):
         raise NotADirectoryError(f"the corpus root {root!r} is no directory; nothing was changed")
     if overlap >= max_chars:
         raise ValueError("overlap must be smaller than max_chars")
@@ -110,12 +109,16 @@ def ingest(
         if fast == held_files and not rest and store.table().where("snapshot_date is not null").isEmpty():
             return IngestReport(files_seen=n_seen, files_unchanged=fast, files_skipped=n_seen - fast, incremental=held_files > 0)
     todo = readable.where("not fast")
-    chunks = chunk(texts.join(todo.select("rel"), "rel", "left_semi"), max_chars=max_chars, overlap=overlap)
+    # The hash that goes with the chunks is that of the text they were cut from: a file may have changed since it was seen.
+    again = texts.join(todo.select("rel"), "rel", "left_semi").withColumn("sha256", content_hash(F.col("text")))
+    chunks = chunk(again, max_chars=max_chars, overlap=overlap)
     chunks = staged(chunks.withColumn("key", chunk_key(F.col("heading"), F.col("text"))), "chunks")
 
+    todo = todo.drop("sha256").join(chunks.groupBy("rel").agg(F.first("sha256").alias("sha256")), "rel")
+    todo = todo.withColumn("same", F.coalesce(F.col("old_sha") == F.col("sha256"), F.lit(False)))
     plan = staged(snapshot_plan(series, chunks), "snapshot-plan")
     dates = plan.select("rel", "chunk_index", "is_kept", "snapshot_date", "repeat_dates")
-    selected = chunks.drop("key").join(dates, ["rel", "chunk_index"], "left").where("is_kept is null or is_kept")
+    selected = chunks.drop("key", "sha256").join(dates, ["rel", "chunk_index"], "left").where("is_kept is null or is_kept")
     selected = selected.select(
         chunk_id().alias("id"),
         "rel",
@@ -182,6 +185,8 @@ def ingest(
     rows = to_add.select("id", F.col("rel").alias("source"), "heading", "chunk_index", "text", "snapshot_date", "repeat_count", "repeat_dates")
     store.commit(
         upsert=store.embedder.embed(rows) if report.chunks_added else None,
+        ids=to_add.select("id") if report.chunks_added else None,
+        rows=report.chunks_added,
         delete=stale if report.chunks_deleted else None,
         metadata=None if moved.isEmpty() else staged(moved, "metadata"),
         manifest=new_manifest if store.persistent else None,

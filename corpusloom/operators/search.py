@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import score
 
@@ -78,15 +79,35 @@ def citation_json(source: Column, heading: Column, chunk_index: Column, date: Co
     return F.when(has_more, show(full)).when(has_date, show(dated)).otherwise(show(plain))
 
 
+def refusal(query: Any) -> dict[str, Any] | None:
+    """What is wrong with a query, as an answer; None if nothing is."""
+    if not isinstance(query, str) or not query.strip():
+        return error("invalid_query", "a query is text that is not blank")
+    if len(query) > MAX_QUERY:
+        return error("invalid_query", f"query has {len(query)} characters; at most {MAX_QUERY} are allowed")
+    return None
+
+
+def refusals(texts: DataFrame, text: str = "text") -> DataFrame:
+    """texts with `verdict`: what search_knowledge says to each taken as a query, before it looks anything up; or ok."""
+    schema = T.StructType([*[f for f in texts.schema.fields if f.name != text], T.StructField("verdict", T.StringType())])
+
+    def run(batches):
+        for b in batches:
+            said = [refusal(x) for x in b.column(text).to_pylist()]
+            verdict = pa.array([x["error"]["type"] if x else "ok" for x in said], pa.string())
+            yield b.drop_columns([text]).append_column("verdict", verdict)
+
+    return texts.mapInArrow(run, schema)
+
+
 def search_knowledge(query: Any, k: Any = DEFAULT_K, *, store: Any, corpus_root: str) -> dict[str, Any]:
     """The k nearest chunks with citations; those whose source lies outside corpus_root are dropped and counted.
 
     The scope is applied after the k nearest are taken: fewer than k may come back.
     """
-    if not isinstance(query, str) or not query.strip():
-        return error("invalid_query", "query must be a non-empty string")
-    if len(query) > MAX_QUERY:
-        return error("invalid_query", f"query has {len(query)} characters; at most {MAX_QUERY} are allowed")
+    if wrong := refusal(query):
+        return wrong
     k = bounded_k(k)
     try:
         if store.count() == 0:

@@ -1,4 +1,7 @@
-"""The chunk table: versioned parquet in buckets by source, changed by whole commits.
+"""The chunk table: versioned parquet in buckets by id, changed by whole commits.
+
+An id's bucket is that of its source and of the stretch of SPAN chunks it lies in, so a long source is spread over many.
+How many buckets there are follows from the size of the first commit.
 
 A commit rewrites only the buckets it touches, into a folder of its own, and then moves the pointer to the new set of
 folders, together with the manifest's. A reader, or a run that dies half-way, never sees a mixture.
@@ -8,15 +11,18 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import cosine
 from ..scratch import scratch_path
 from .commit import Pointer
 from .embed import Embedder
 
-BUCKETS = 32
+#: A bucket gets about so many chunks of the first commit, and a file of a bucket at most so many.
+BUCKET_CHUNKS, FILE_CHUNKS, SPAN = 20_000, 200_000, 4096
 COLUMNS = (
     "id string, source string, heading string, chunk_index int, text string, embedding array<float>, "
     "snapshot_date string, repeat_count int, repeat_dates string"
@@ -32,7 +38,7 @@ class DimensionMismatchError(ValueError):
 class ChunkStore:
     """A collection of chunks. path=None gives one that lives in scratch storage and keeps no manifest."""
 
-    def __init__(self, spark: SparkSession, path: str | None, collection: str, embedder: Embedder, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str | None, collection: str, embedder: Embedder, buckets: int | None = None):
         self.spark, self.collection, self.embedder, self.buckets = spark, collection, embedder, buckets
         self.persistent = path is not None
         self.path = path or scratch_path(spark, "store")
@@ -66,7 +72,9 @@ class ChunkStore:
         return rows.where("rel is not null and sha256 is not null and chunks >= 0"), state["identity"]
 
     def _bucket(self):
-        return F.pmod(F.xxhash64("source"), F.lit(self.buckets)).cast("int")
+        source = F.expr("substring(id, 1, length(id) - length(substring_index(id, '::', -1)) - 2)")
+        stretch = F.floor(F.expr("try_cast(substring_index(id, '::', -1) as bigint)") / SPAN)
+        return F.pmod(F.xxhash64(source, F.coalesce(stretch, F.lit(0))), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def commit(
         self,
@@ -77,16 +85,24 @@ class ChunkStore:
         manifest: DataFrame | None = None,
         identity: dict | None = None,
         replace: bool = False,
+        rows: int | None = None,
+        ids: DataFrame | None = None,
     ) -> None:
         """Apply rows to insert or replace by id, ids to delete (id), and metadata to rewrite (id and METADATA), at once.
 
         A row that is upserted is not deleted; metadata of unknown ids is ignored. Ids are <source>::<chunk_index>, so
         an id's bucket follows from it. replace drops all that is there first. Repeated ids keep one row of them.
+        rows is how many are upserted and ids their ids, if these are known beforehand: else they are taken from upsert,
+        which is then computed again for them.
         """
         state = self._state()
-        source = F.expr("substring(id, 1, length(id) - length(substring_index(id, '::', -1)) - 2)")
-        bucket = F.pmod(F.xxhash64(source), F.lit(self.buckets)).cast("int").alias("bucket")
-        changes = [d.select("id", bucket).distinct() for d in (upsert, delete, metadata) if d is not None]
+        if upsert is not None and ids is None:
+            ids = upsert.select("id")
+        if self.buckets is None:
+            rows = ids.count() if rows is None and upsert is not None else rows or 0
+            self.buckets = max(self.spark.sparkContext.defaultParallelism, -(-rows // BUCKET_CHUNKS))
+        bucket = self._bucket()
+        changes = [d.select("id", bucket).distinct() for d in (ids if upsert is not None else None, delete, metadata) if d is not None]
         touched: set[int] = set()
         if replace:
             touched = set(range(self.buckets))
@@ -103,7 +119,7 @@ class ChunkStore:
             old = self.spark.read.schema(COLUMNS).parquet(*held) if held and not replace else self.spark.createDataFrame([], COLUMNS)
             names = [c.split()[0] for c in COLUMNS.split(", ")]
             if upsert is not None:
-                old = old.join(upsert.select("id").distinct(), "id", "left_anti")
+                old = old.join(ids.select("id").distinct(), "id", "left_anti")
             if delete is not None:
                 old = old.join(delete.select("id").distinct(), "id", "left_anti")
             if metadata is not None:
@@ -112,10 +128,8 @@ class ChunkStore:
                 old = old.join(new, "id", "left").select(*keep)
             if upsert is not None:
                 old = old.select(*names).unionByName(upsert.dropDuplicates(["id"]).select(*names))
-            out = old.select(*names, self._bucket().alias("bucket"))
-            out.repartition("bucket").sortWithinPartitions("bucket", "source", "chunk_index").write.partitionBy("bucket").parquet(
-                f"{self._pointer.path}/{folder}/chunks"
-            )
+            out = old.select(*names, self._bucket()).repartitionById(self.buckets, "bucket").sortWithinPartitions("source", "chunk_index")
+            out.write.option("maxRecordsPerFile", FILE_CHUNKS).partitionBy("bucket").parquet(f"{self._pointer.path}/{folder}/chunks")
             for b in touched:
                 folders.pop(str(b), None)
                 if self._pointer.exists(f"{folder}/chunks/bucket={b}"):
@@ -147,7 +161,7 @@ class ChunkStore:
                 if c != "embedding"
             ]
         )
-        self.commit(upsert=self.embedder.embed(full))
+        self.commit(upsert=self.embedder.embed(full), ids=full.select("id"))
 
     def update_metadata(self, rows: DataFrame) -> None:
         self.commit(metadata=rows)
@@ -165,10 +179,25 @@ class ChunkStore:
         self._pointer.delete()
 
     def nearest(self, vector: list[float], k: int) -> DataFrame:
-        """The k chunks nearest to a vector by cosine, best first, ties by id; none for k below 1."""
-        q = F.array(*[F.lit(float(x)) for x in vector])
-        sim = cosine(F.col("embedding"), q)
-        hits = self.table().withColumn("similarity", sim)
+        """The k chunks nearest to a vector by cosine, best first, ties by id; none for k below 1. Chunks without a vector,
+        or with one of another length, are left out; zero vectors have similarity 0."""
+        q = np.array(vector, np.float64)
+        q /= np.linalg.norm(q) or 1.0
+        table = self.table()
+
+        def run(batches):
+            for b in batches:
+                vectors = b.column("embedding")
+                fit = np.flatnonzero(np.array(vectors.value_lengths().fill_null(-1)) == len(q))
+                b = b.take(pa.array(fit))
+                m = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), len(q))
+                length = np.sqrt((m * m).sum(axis=1))
+                sim = (m * q).sum(axis=1) / np.where(length, length, 1.0)
+                by_id = np.argsort(np.array(b.column("id").to_pylist(), object), kind="stable")
+                best = by_id[np.argsort(-sim[by_id], kind="stable")[: max(0, k)]]
+                yield b.take(pa.array(best)).append_column("similarity", pa.array(sim[best]))
+
+        hits = table.mapInArrow(run, T.StructType([*table.schema.fields, T.StructField("similarity", T.DoubleType())]))
         return hits.orderBy(F.desc("similarity"), "id").limit(max(0, k))
 
     def query(self, text: str, k: int = 5) -> DataFrame:
