@@ -26,3 +26,13 @@ def test_only_the_entry_names_the_llm_package():
 def test_no_local_checkpoint_or_cross_join():
     for p in (HERE / "corpusloom").rglob("*.py"):
         assert "localCheckpoint" not in p.read_text() and "crossJoin" not in p.read_text(), p
+
+
+def test_the_core_stays_without_what_the_llm_package_needs(monkeypatch):
+    import sys
+
+    for name in [n for n in sys.modules if n.startswith("corpusloom.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    names = set(e.queries())
+    assert "search_documents" in names and set(e.oracle_sql()) <= names and not any(n.startswith("p1_") for n in names)
