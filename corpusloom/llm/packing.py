@@ -170,9 +170,11 @@ def pack(sizes: DataFrame, containers: DataFrame, *, part_items: int = PART_ITEM
             final.append(bins.where("done or again is null").select(*names, "content"))
             if not again:
                 break
+            # What the parts left over goes up to their parents, each that of the same number of neighbouring parts or so.
+            old = bins.sparkSession.createDataFrame([(*k, parts[k]) for k in again], "container string, capacity int, old int")
+            left_over = bins.where("not done and again").drop("again").join(F.broadcast(old), names)
             parts = again
-            # What all parts left over is dealt evenly to fewer parts, each the parent of several of the finer level.
-            items = dealt(bins.where("not done and again").drop("part", "again"), parts, F.xxhash64("content"))
+            items = dealt(left_over, parts, F.floor(F.col("part") * F.col("parts") / F.col("old"))).drop("old")
         packed = final[0]
         for x in final[1:]:
             packed = packed.unionByName(x)
