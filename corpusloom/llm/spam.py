@@ -139,7 +139,7 @@ def _weighted(documents: DataFrame) -> DataFrame:
 def prose_heads(documents: DataFrame) -> dict[str, dict[str, float]]:
     """The head words of each language with their mean shares; HEAD rows for each label with MIN_PAGES pages are collected."""
     rows = _weighted(documents).mapInArrow(_shares, "lang string, word string, level int, seen double, share double")
-    summed = rows.groupBy("lang", "word", "level").agg(F.sum("seen").alias("seen"), F.sum("share").alias("share"))
+    summed = staged(rows.groupBy("lang", "word", "level").agg(F.sum("seen").alias("seen"), F.sum("share").alias("share")), "word-shares")
     pages = summed.where("word = ''").select("lang", F.round("seen", 6).alias("pages")).where(F.col("pages") >= MIN_PAGES)
     # Of each word the TRIM of all pages in which it is most common is cut off, from the highest level downwards.
     before = F.coalesce(F.sum("seen").over(Window.partitionBy("lang", "word").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -294,7 +294,7 @@ def suspects(curves: DataFrame) -> DataFrame:
     rougher say by how many quartile distances slope and residual are off. Without prose of that length these are null.
     """
     length = F.floor(F.log2(F.greatest(F.col("words"), F.lit(1))))
-    curves = curves.withColumn("length", length)
+    curves = staged(curves.withColumn("length", length), "curves")
     prose = curves.where("agreement >= 0.8").select("lang", "length", "words", "slope", "residual", "agreement").distinct()
     q = F.lit([0.25, 0.5, 0.75])
     line = lambda by: staged(
