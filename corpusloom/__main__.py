@@ -1,14 +1,13 @@
-"""python -m corpusloom: answer tool calls on standard input, one JSON object a line."""
+"""python -m corpusloom: answer tool calls on standard input, one JSON object a line (JSON-RPC or plain)."""
 
 from __future__ import annotations
 
-import json
 import sys
 
 from pyspark.sql import SparkSession
 
 from .config import Config
-from .server import ToolServer
+from .server import ToolServer, serve
 
 
 def main() -> int:
@@ -20,13 +19,7 @@ def main() -> int:
     spark = SparkSession.builder.appName("corpusloom").getOrCreate()
     server = ToolServer(lambda: (config.open_store(spark), config.corpus_root))
     server.warm_up()
-    for line in sys.stdin:
-        try:
-            call = json.loads(line)
-            name, arguments = call.get("name"), call.get("arguments")
-        except (ValueError, AttributeError):
-            name, arguments = None, None
-        print(server.call_tool(name, arguments if isinstance(arguments, dict) else {}), flush=True)
+    serve(server, sys.stdin, lambda text: print(text, flush=True))
     return 0
 
 

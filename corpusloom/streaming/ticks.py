@@ -17,14 +17,16 @@ from ..operators.store import ChunkStore
 
 
 def ingest_on_ticks(
-    spark: SparkSession, root: str, store: ChunkStore, *, every: str = "15 minutes", checkpoint: str, report: Callable[[IngestReport | None], None] = lambda r: None, **options
+    spark: SparkSession, root: str, store: ChunkStore, *, every: str = "15 minutes", checkpoint: str, report: Callable[[IngestReport | None], None] = lambda r: None, rebuild_every: int | None = None, **options
 ) -> StreamingQuery:
-    """Run an ingest at every trigger. A tick that meets a live lock is skipped, and reports None."""
+    """Run an ingest at every trigger. A tick that meets a live lock is skipped, and reports None. Each tick whose number
+    divides by rebuild_every makes the table anew (672 ticks of 15 minutes are a week)."""
 
-    def tick(_, __) -> None:
+    def tick(_, number: int) -> None:
+        anew = {"incremental": False} if rebuild_every and number and number % rebuild_every == 0 else {}
         try:
             with WriterLock(store.path):
-                report(ingest(spark, root, store, **options))
+                report(ingest(spark, root, store, **options | anew))
         except LockHeld:
             report(None)
 
