@@ -33,16 +33,16 @@ from .prefixes import COMMON, Common, Likeness, order, prefix_length, set_key, s
 KIND = Likeness(words=3, least=Fraction(3, 5), min_words=20)
 #: A shingle in more prefixes than this is split over several reducers.
 SPLIT = 20_000
-POSTING = np.dtype([("token", "<u8"), ("set", "<u8"), ("bits", "<u8", 4), ("n", "<u4"), ("l", "u1"), ("side", "u1")])
+POSTING = np.dtype([("token", "<u8"), ("set", "<u8"), ("bits", "<u8", 3), ("n", "<u4"), ("l", "u1"), ("side", "u1")])
 WHOLE = 255
 
 
 def parity(a: np.ndarray) -> np.ndarray:
-    """256 bits: for each value of the low byte whether the set has an odd number of such shingles.
+    """192 bits: for each remainder by 192 whether the set has an odd number of such shingles.
 
     Two sets differ in at least as many shingles as their parities differ in bits.
     """
-    return np.packbits((np.bincount((a & K.U(255)).astype(np.int64), minlength=256) & 1).astype(bool)).view(np.uint64)
+    return np.packbits((np.bincount((a % K.U(192)).astype(np.int64), minlength=192) & 1).astype(bool)).view(np.uint64)
 
 
 def _split(p: np.ndarray, counts: np.ndarray, most: int):
@@ -199,7 +199,7 @@ def _met(kind: Likeness, buckets: int, most: int | None):
 class NearDuplicates:
     """The operator: pairs of alike records and the groups they form."""
 
-    def __init__(self, chunks: DataFrame, kind: Likeness = KIND, postings_per_bucket: int = 2_000_000, common: int = COMMON):
+    def __init__(self, chunks: DataFrame, kind: Likeness = KIND, postings_per_bucket: int = 1_000_000, common: int = COMMON):
         self.kind = kind
         rows = record_rows(chunks)
         self.rows = rows.select("id", "rid", F.concat_ws(" ", "heading", "text").alias("words"))
