@@ -26,7 +26,7 @@ def parse_series(rel: Column) -> tuple[Column, Column]:
     folder = F.regexp_extract(rel, r"(?s)^(.*/)?[^/]*$", 1)
     name = F.regexp_extract(rel, r"(?s)^(?:.*/)?([^/]*)$", 1)
     stem = F.when(name.contains("."), F.regexp_extract(name, r"(?s)^(.*)\.[^.]*$", 1)).otherwise(name)
-    pattern = r"^(.+)-(\d{4}-\d{2}-\d{2})$"
+    pattern = r"^(.+)-(\d{4}-\d{2}-\d{2})$"  # fixed value: what makes a name dated
     dated = stem.rlike(pattern)
     return (
         F.when(dated, F.concat(folder, F.regexp_extract(stem, pattern, 1))),
