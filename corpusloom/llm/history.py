@@ -226,6 +226,7 @@ class HistoryIndex:
         shas = texts.select("sha", "node")
         shas = F.broadcast(shas) if tokens <= self.small else shas
         equal = self.table("holders").select("sha", F.col("node").alias("other")).join(shas, "sha").select("node", "other", F.lit(True).alias("held"))
+        equal = equal.distinct()  # a node once, however many files have its text
         return staged(both.unionByName(equal), "matches"), n
 
     def take(self, texts: DataFrame, tokens: int | None = None, buckets: list[int] = ()) -> DataFrame:
