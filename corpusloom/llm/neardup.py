@@ -5,9 +5,11 @@ a prefix of its rarest shingles; where the prefix would meet many postings, it i
 shingles (l) are required. Two sets are verified if they share at least the smaller l of the two, and as many as sets of
 their sizes must share in prefixes of these lengths. Pairs that differ too
 much in size, or in a parity sketch of the whole sets (a lower bound of their difference), are left out where they meet.
-Postings travel in packed blocks to the bucket of their shingle, one bucket a task. A shingle in more than SPLIT prefixes
-is split by blocks of sets, each pair of blocks in one bucket: where the table of common shingles knows it, before it is
-sent; any other is counted in its bucket, whole, and its postings are sent on to a second round in the same blocks.
+Postings travel in packed blocks to the bucket of their shingle, one bucket a task. A block has its postings in order of
+their shingles, so that a posting has nearly the same size at any number of buckets; in order of sets it would live on
+repeated sketches, which get rare as buckets get many. A shingle in more than SPLIT prefixes is split by blocks of sets,
+each pair of blocks in one bucket: where the table of common shingles knows it, before it is sent; any other is counted in
+its bucket, whole, and its postings are sent on to a second round in the same blocks.
 
 Defined results: the words of a record are those of heading, a space and text; null headings and texts count as ''.
 Rows of one id are one record (see record_rows). Records of fewer than 20 words take no part. Records that are copies of
@@ -35,6 +37,10 @@ KIND = Likeness(words=3, least=Fraction(3, 5), min_words=20)
 SPLIT = 20_000
 POSTING = np.dtype([("token", "<u8"), ("set", "<u8"), ("bits", "<u8", 3), ("n", "<u4"), ("l", "u1"), ("side", "u1")])
 WHOLE = 255
+SKETCH = 192
+#: Low bytes of a shingle that travel; the bucket tells the rest apart. Shingles of two sets taken for one only make a
+#: candidate more; two of one set would be counted once, for 1 in 2**40 pairs of its shingles in one bucket.
+TOKEN_BYTES = 5
 
 
 def parity(a: np.ndarray) -> np.ndarray:
@@ -42,7 +48,17 @@ def parity(a: np.ndarray) -> np.ndarray:
 
     Two sets differ in at least as many shingles as their parities differ in bits.
     """
-    return np.packbits((np.bincount((a % K.U(192)).astype(np.int64), minlength=192) & 1).astype(bool)).view(np.uint64)
+    return np.packbits((np.bincount((a % K.U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).view(np.uint64)
+
+
+def sketched(n, kind: Likeness):
+    """Whether sets of n shingles travel with their parities; n a number or an array.
+
+    Parities of sets that have nothing in common differ in half of the bits. Where even the smallest partner may differ
+    in 5/8 of them, they tell nothing.
+    """
+    p, q = kind.least.numerator, kind.least.denominator
+    return n * (q - p) * 8 < 5 * SKETCH * q
 
 
 def _split(p: np.ndarray, counts: np.ndarray, most: int):
@@ -61,14 +77,45 @@ def _split(p: np.ndarray, counts: np.ndarray, most: int):
             yield q
 
 
-def _blobs(p: np.ndarray, buckets: int):
-    """(bucket, blob) of packed postings."""
+def _octets(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)
+
+
+def _blobs(p: np.ndarray, buckets: int, kind: Likeness):
+    """(bucket, blob) of packed postings: column by column, in order of the shingles, sketches of those that have one."""
     b = ((p["token"] >> K.U(32)) % K.U(buckets)).astype(np.int64)
-    p, b = p[np.argsort(b, kind="stable")], np.sort(b)
+    o = np.lexsort((p["token"], b))
+    p, b = p[o], b[o]
+    token, key, n, l, side = _octets(p["token"])[:, :TOKEN_BYTES], _octets(p["set"]), _octets(p["n"]), p["l"].copy(), p["side"].copy()
+    with_bits = sketched(p["n"].astype(np.int64), kind)
+    bits, bits_at = p["bits"][with_bits], np.concatenate(([0], np.cumsum(with_bits)))
     at = np.searchsorted(b, np.arange(buckets + 1))
     for i in np.flatnonzero(np.diff(at)):
         for s in range(at[i], at[i + 1], 50_000):
-            yield int(i), p[s : min(s + 50_000, at[i + 1])].tobytes()
+            e = min(s + 50_000, at[i + 1])
+            columns = token[s:e], key[s:e], n[s:e].T, l[s:e], side[s:e], bits[bits_at[s] : bits_at[e]]
+            yield int(i), b"".join([int(e - s).to_bytes(4, "little"), *(x.tobytes() for x in columns)])
+
+
+def _unpacked(blob: bytes, kind: Likeness) -> np.ndarray:
+    """The postings of a blob, of their shingles the low bytes, of those without a sketch zeros for it."""
+    m = int.from_bytes(blob[:4], "little")
+    octets, at = np.frombuffer(blob, np.uint8), 4
+
+    def column(width: int) -> np.ndarray:
+        nonlocal at
+        at += width * m
+        return octets[at - width * m : at]
+
+    p = np.zeros(m, POSTING)
+    token = np.zeros((m, 8), np.uint8)
+    token[:, :TOKEN_BYTES] = column(TOKEN_BYTES).reshape(m, TOKEN_BYTES)
+    p["token"] = token.view("<u8").ravel()
+    p["set"] = np.frombuffer(column(8).tobytes(), "<u8")
+    p["n"] = np.ascontiguousarray(column(4).reshape(4, m).T).view("<u4").ravel()
+    p["l"], p["side"] = column(1), column(1)
+    p["bits"][sketched(p["n"].astype(np.int64), kind)] = np.frombuffer(octets[at:].tobytes(), "<u8").reshape(-1, SKETCH // 64)
+    return p
 
 
 def _postings(kind: Likeness, common: Common, buckets: int, most: int):
@@ -76,7 +123,7 @@ def _postings(kind: Likeness, common: Common, buckets: int, most: int):
 
     def packed(held: list[np.ndarray]):
         p = np.concatenate(held)
-        for i, blob in _blobs(np.concatenate(list(_split(p, common.of(p["token"]), most))), buckets):
+        for i, blob in _blobs(np.concatenate(list(_split(p, common.of(p["token"]), most))), buckets, kind):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
     def run(batches):
@@ -145,7 +192,7 @@ def _met(kind: Likeness, buckets: int, most: int | None):
         )
 
     def sent_on(p):
-        for i, blob in _blobs(p, buckets):
+        for i, blob in _blobs(p, buckets, kind):
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([*[pa.nulls(1, k) for k in kinds], pa.array([i], pa.int32()), pa.array([blob], pa.binary())], names=names)
 
@@ -153,7 +200,7 @@ def _met(kind: Likeness, buckets: int, most: int | None):
         blobs = [x for batch in batches for x in batch.column("blob").to_pylist()]
         if not blobs:
             return
-        p = np.frombuffer(b"".join(blobs), POSTING)
+        p = np.concatenate([_unpacked(x, kind) for x in blobs])
         del blobs
         p = p[np.lexsort((p["set"], p["n"], p["token"]))]
         same = (p["token"][1:] == p["token"][:-1]) & (p["set"][1:] == p["set"][:-1]) & (p["side"][1:] == p["side"][:-1])
@@ -175,7 +222,7 @@ def _met(kind: Likeness, buckets: int, most: int | None):
             both = n[i] + n[j]
             apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
             overlap = -(-both * p_ // (p_ + q_))
-            use = (apart <= both - 2 * overlap) & ((p["side"][i] != p["side"][j]) | (p["side"][i] == WHOLE))
+            use = ((apart <= both - 2 * overlap) | ~sketched(n[j], kind)) & ((p["side"][i] != p["side"][j]) | (p["side"][i] == WHOLE))
             s, t, overlap = i[use], j[use], overlap[use]
             # Of the set whose prefix ends first, none of the prefix is in the other's rest: overlap <= met + own rest.
             rest = np.maximum(-(-n[s] * p_ // q_) - l[s], -(-n[t] * p_ // q_) - l[t])

@@ -143,14 +143,18 @@ def prefix_length(n: int, kind: Likeness, counts: np.ndarray, most: int = 16, ve
     """(l, prefix length) of least estimated cost.
 
     A prefix costs its own postings and the postings it meets: those of common shingles as counted, half a posting for a
-    rare one. Of the sets met, about half as many share one more shingle each time, and those that share l have to be
-    verified, at a cost that grows with their size. So large sets and sets of common shingles take a longer prefix and
-    ask for more matches.
+    rare one. Of the sets met, about half as many share one more shingle each time, and those that share enough have to be
+    verified, at a cost that grows with their size. Enough is l with the smallest partner that a set can have; with a partner
+    of its own size it is more, by as much as the overlap of the two must be larger, and half of that is reckoned with. So
+    sets of common shingles take a longer prefix and ask for more matches; to others a longer prefix costs more than it
+    saves.
     """
     need = kind.need(n)
+    p, q = kind.least.numerator, kind.least.denominator
+    spare = (2 * n * p / (p + q) - need) / 2
     first = n - need + 1
     ls = np.arange(1, max(2, min(most, need) + 1))
     ps = np.minimum(first + ls - 1, n)
     met = np.cumsum(np.maximum(counts, 0.5))[ps - 1]
-    best = int(np.argmin(4 * ps + met * (1 + verify * n * 0.5 ** (ls - 1))))
+    best = int(np.argmin(4 * ps + met * (1 + verify * n * 0.5 ** (ls - 1 + spare))))
     return int(ls[best]), int(ps[best])

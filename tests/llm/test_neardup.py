@@ -4,11 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from corpusloom.llm import neardup
 from corpusloom.llm.components import components
 from corpusloom.llm.neardup import KIND, NearDuplicates, parity
-from corpusloom.llm.prefixes import prefix_length
+from corpusloom.llm.prefixes import Common, prefix_length
 
 DDL = "id string, heading string, text string, ingested_at timestamp_ntz, `set` long, words string"
 
@@ -107,3 +108,52 @@ def test_prefixes_and_sketch():
     for _ in range(50):
         a, b = (np.unique(rnd.integers(0, 400, 80).astype(np.uint64)) for _ in range(2))
         assert np.bitwise_count(parity(a) ^ parity(b)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_a_posting_has_the_same_size_at_any_number_of_buckets():
+    rnd = random.Random(3)
+    texts = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{rnd.randrange(9999)}" for _ in range(100)) for _ in range(3000)])], names=["words"])
+    none = Common(np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def written(buckets):
+        """Bytes as a shuffle writes them: by bucket, compressed."""
+        by = {}
+        for b in neardup._postings(KIND, none, buckets, 20_000)([texts]):
+            by.setdefault(b.column(0)[0].as_py(), []).append(b.column(1)[0].as_py())
+        return sum(len(pa.compress(x, codec="lz4_raw", asbytes=True)) for x in map(b"".join, by.values()))
+
+    assert written(256) < 1.15 * written(8)
+
+
+def test_postings_are_read_as_they_were_packed():
+    rnd = np.random.default_rng(2)
+    p = np.zeros(5000, neardup.POSTING)
+    for c in ("token", "set"):
+        p[c] = rnd.integers(0, 1 << 63, len(p), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    p["n"], p["l"], p["side"] = rnd.integers(1, 600, len(p)), rnd.integers(1, 17, len(p)), rnd.choice([0, 1, neardup.WHOLE], len(p))
+    p["n"][:3] = 70_000, 1 << 24, 1
+    p["bits"] = rnd.integers(1, 1 << 63, (len(p), 3), dtype=np.uint64)
+    with_bits = neardup.sketched(p["n"].astype(np.int64), KIND)
+    assert 0 < with_bits.sum() < len(p)
+    got = np.concatenate([neardup._unpacked(x, KIND) for _, x in neardup._blobs(p, 7, KIND)])
+    p["token"] &= np.uint64((1 << 8 * neardup.TOKEN_BYTES) - 1)
+    p["bits"][~with_bits] = 0
+    assert sorted(x.tobytes() for x in got) == sorted(x.tobytes() for x in p)
+    assert len(neardup._unpacked(next(neardup._blobs(p[~with_bits][:1], 1, KIND))[1], KIND)) == 1
+
+
+def test_long_records_are_found_with_and_without_a_sketch(spark):
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(500)}" for _ in range(460)]
+    records = {f"b{i}": " ".join(base[:k]) for i, k in enumerate((250, 290, 298, 302, 303, 320, 400, 460))}
+    for i in range(12):
+        words = list(base[: rnd.randrange(260, 460)])
+        for _ in range(rnd.randrange(40)):
+            words[rnd.randrange(len(words))] = f"w{rnd.randrange(500)}"
+        records[f"e{i}"] = " ".join(words)
+    df = spark.createDataFrame([(i, None, t, None, 5, "clash") for i, t in records.items()], DDL)
+    got = [tuple(r) for r in NearDuplicates(df).pairs().collect()]
+    want = brute(records)
+    sizes = {i: len(shingles(t)) for i, t in records.items()}
+    assert any(sizes[a] < 300 <= sizes[b] or sizes[b] < 300 <= sizes[a] for a, b in want)
+    assert len(got) == len(set(got)) and set(got) == want
